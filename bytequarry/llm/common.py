@@ -17,8 +17,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width"]
+__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "minima", "runs"]
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -45,7 +46,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nothing else reads this plan's shuffle files
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -93,6 +99,38 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(s)
 
 
+class RunHashes:
+    """Hashes of any run of a sequence of unsigned 64-bit numbers in constant time each (prefix sums modulo 2**64)."""
+
+    BASE = 0xD6E8FEB86659FD93
+    powers = np.ones(1, np.uint64)
+    inverse = np.ones(1, np.uint64)
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        if len(RunHashes.powers) <= n:
+            size = 2 * n + 1024
+            RunHashes.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, self.BASE, np.uint64))])
+            RunHashes.inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, pow(self.BASE, -1, 2**64), np.uint64))])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * RunHashes.powers[:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of values[start:end] for each pair; it also depends on the length."""
+        return mix64((self.sums[end] - self.sums[start]) * RunHashes.inverse[start] + mix64((end - start).astype(np.uint64)))
+
+
+def minima(values: np.ndarray, window: int) -> np.ndarray:
+    """For each window of ``values`` the position of its smallest value, the first of equal ones."""
+    return np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1) + np.arange(len(values) - window + 1)
+
+
+def runs(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal neighbours."""
+    cut = np.flatnonzero(labels[1:] != labels[:-1]) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(labels)]])
+
+
 def pack_text(text: str | None) -> bytes:
     return zstandard.compress((text or "").encode("utf-8", "surrogatepass"), 1)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .minhash import op1_minhash
+from .phrases import op9_phrases
 
-QUERIES = {"op1_minhash": op1_minhash}
+QUERIES = {"op1_minhash": op1_minhash, "op9_phrases": op9_phrases}
 ORACLES: dict[str, str] = {}

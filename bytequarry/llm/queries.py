@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .minhash import op1_minhash
+from .parsing import op2_parsing
 from .phrases import op9_phrases
 
-QUERIES = {"op1_minhash": op1_minhash, "op9_phrases": op9_phrases}
+QUERIES = {"op1_minhash": op1_minhash, "op2_parsing": op2_parsing, "op9_phrases": op9_phrases}
 ORACLES: dict[str, str] = {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .minhash import op1_minhash
+from .packing import op4_packing
 from .parsing import op2_parsing
 from .phrases import op9_phrases
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_parsing": op2_parsing, "op9_phrases": op9_phrases}
+QUERIES = {"op1_minhash": op1_minhash, "op2_parsing": op2_parsing, "op4_packing": op4_packing, "op9_phrases": op9_phrases}
 ORACLES: dict[str, str] = {}

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .chunks import op5_chunks
+from .covertree import op7_covertree
 from .minhash import op1_minhash
 from .packing import op4_packing
 from .parsing import op2_parsing
 from .phrases import op9_phrases
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_parsing": op2_parsing, "op4_packing": op4_packing, "op5_chunks": op5_chunks, "op9_phrases": op9_phrases}
+QUERIES = {"op1_minhash": op1_minhash, "op2_parsing": op2_parsing, "op4_packing": op4_packing, "op5_chunks": op5_chunks, "op7_covertree": op7_covertree, "op9_phrases": op9_phrases}
 ORACLES: dict[str, str] = {}

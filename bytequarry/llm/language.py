@@ -83,7 +83,7 @@ def train_languages(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], n
     return fit([np.frombuffer(r["x"], "<u2").astype(np.int64) for r in rows], [r["lang"] for r in rows])
 
 
-def _score(model):
+def _score(model, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = model.value
         table = np.array([*names, "und"], object)
@@ -102,20 +102,21 @@ def _score(model):
                     r[g] = 0
                 best[part] = s.argmax(axis=1)
                 score[part] = np.clip((1 + s.max(axis=1)) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(table[best].tolist(), pa.string()), pa.array(score)], [*b.schema.names[:-1], "lang_pred", "score"])
+            kept = b.num_columns - (not keep_text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(table[best].tolist(), pa.string()), pa.array(score)], [*b.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
 
-def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score instead of the last column, the text.
+def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` with lang_pred and score instead of the last column, the text, or after it.
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or nothing was learnt. Whole texts
     are scored, whatever other columns hold; repeated rows score alike. No rows give no rows.
     """
     value = docs.sparkSession.sparkContext.broadcast(model)  # one column per language, SPACE rows
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(_score(value), f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: None if keep_text else -1])
+    return docs.mapInArrow(_score(value, keep_text), f"{fields}, lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

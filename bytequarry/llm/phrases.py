@@ -64,14 +64,14 @@ def _count(window: int, phrase: int):
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = b.num_rows
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), b.column(1), pa.array([pack_text(t) for t in b.column(2).to_pylist()], pa.binary())], ["shard", "kind", "hash", "doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), b.column(1), b.column(2), pa.array([pack_text(t) for t in b.column(3).to_pylist()], pa.binary())], ["shard", "kind", "hash", "doc_id", "carry", "packed"])
 
 
 def _locate(window: int, phrase: int):
     """Rows sorted by shard, recurring anchors first -> a row for each document with its located blocks."""
 
-    def shard(known: np.ndarray, docs: list[tuple[int, bytes]], number: int) -> pa.RecordBatch:
-        words = [unpack_text(p).split() for _, p in docs]
+    def shard(known: np.ndarray, docs: list[tuple[int, str, bytes]], number: int) -> pa.RecordBatch:
+        words = [unpack_text(p).split() for *_, p in docs]
         placed, automaton, seen = [], ahocorasick.Automaton(), set()
         for w in words:
             if len(w) < window:
@@ -104,7 +104,7 @@ def _locate(window: int, phrase: int):
                     found = [{"bh": x, "ah": y, "s": z, "n": c} for x, y, z, c in zip(bh.astype(np.int64).tolist(), a.astype(np.int64).tolist(), s.tolist(), n.tolist(), strict=True)]
             rows.append(found)
         at = np.arange(number, number + len(docs), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array([d for d, _ in docs], pa.int64()), pa.array([p for _, p in docs], pa.binary()), pa.array(rows, BLOCKS)], ["row", "doc_id", "packed", "blocks"])
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array([d for d, *_ in docs], pa.int64()), pa.array([c for _, c, _ in docs], pa.string()), pa.array([p for *_, p in docs], pa.binary()), pa.array(rows, BLOCKS)], ["row", "doc_id", "carry", "packed", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, now, hashes, docs = TaskContext.get().partitionId() << 33, None, [], []
@@ -126,7 +126,7 @@ def _locate(window: int, phrase: int):
                 if kinds[lo] == 0:
                     hashes.append(b.column(2).slice(lo, hi - lo).to_numpy())
                 else:
-                    docs += zip(b.column(3).slice(lo, hi - lo).to_pylist(), b.column(4).slice(lo, hi - lo).to_pylist(), strict=True)
+                    docs += zip(*(b.column(i).slice(lo, hi - lo).to_pylist() for i in (3, 4, 5)), strict=True)
         if docs:
             yield flush()
 
@@ -163,7 +163,7 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone, spans, kept = [], [], [], []
-            for packed, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for packed, ranges in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = unpack_text(packed)
                 if not ranges:
                     total.append(len(data.split()))
@@ -190,32 +190,34 @@ def _cut(window: int):
                 gone.append(int(out.sum()))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(s, e, strict=True) if out[x]])
                 kept.append(b"".join(pieces).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string())], ["doc_id", "carry", "n_words", "n_removed", "spans", "kept"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, spans (first and last word of each removed run) and kept (the text without
     them, white space between kept words as it was) for every row of ``docs`` (doc_id, text).
 
     Removed are the words of every run of ``window`` words that also starts earlier: in a smaller doc_id, or
     before in the same document. Null texts have no words; a text under ``window`` words keeps all. Of rows
     that share a doc_id one counts as earlier, so of repeated rows one is kept. Rows without doc_id are left
-    out. Other columns are not read.
+    out. Other columns are not read, but for those in ``carry``, which are given back beside doc_id.
     """
     spark, phrase = docs.sparkSession, max(1, min(PHRASE, window))
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    carried = docs.select(*carry).schema
+    extra = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    docs = docs.select("doc_id", extra.alias("carry"), "text").where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     anchors = staged(docs.select("shard", "text").mapInArrow(_count(window, phrase), "hash long, shard long, c long"), "anchors")
     recurring = anchors.groupBy("hash").agg(F.sum("c").alias("c")).where("c > 1").select("hash")
-    phrases = staged(anchors.join(recurring, "hash").select("shard", F.lit(0).cast("tinyint").alias("kind"), "hash", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("packed")), "phrases")
+    phrases = staged(anchors.join(recurring, "hash").select("shard", F.lit(0).cast("tinyint").alias("kind"), "hash", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("carry"), F.lit(None).cast("binary").alias("packed")), "phrases")
     drop_staged(anchors)
-    texts = docs.select("shard", "doc_id", "text").mapInArrow(_pack, "shard long, kind tinyint, hash long, doc_id long, packed binary")
+    texts = docs.select("shard", "doc_id", "carry", "text").mapInArrow(_pack, "shard long, kind tinyint, hash long, doc_id long, carry string, packed binary")
     dealt = phrases.union(texts).repartition(width(spark), "shard").sortWithinPartitions("shard", "kind")
-    located = staged(dealt.mapInArrow(_locate(window, phrase), "row long, doc_id long, packed binary, blocks array<struct<bh:long,ah:long,s:int,n:int>>"), "located")
+    located = staged(dealt.mapInArrow(_locate(window, phrase), "row long, doc_id long, carry string, packed binary, blocks array<struct<bh:long,ah:long,s:int,n:int>>"), "located")
     drop_staged(phrases)
 
     found = located.where(F.size("blocks") > 0).select("doc_id", "row", F.inline("blocks"))
@@ -228,8 +230,10 @@ def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     earliest = single.groupBy("h").agg(F.min(place).alias("first"))
     later = single.join(earliest, "h").where(place != F.col("first")).select("row", F.col("s").cast("int"), F.lit(1).alias("n"))
     cut = staged(whole.union(later).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "cut")
-    out = located.select("row", "doc_id", "packed").join(cut, "row", "left").select("doc_id", "packed", "ranges")
-    return out.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string")
+    out = located.select("row", "doc_id", "carry", "packed").join(cut, "row", "left").select("doc_id", "carry", "packed", "ranges")
+    out = out.mapInArrow(_cut(window), "doc_id long, carry string, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string")
+    back = F.from_json("carry", carried)
+    return out.select("doc_id", *(back[c].alias(c) for c in carry), "n_words", "n_removed", "spans", "kept")
 
 
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

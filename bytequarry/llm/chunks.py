@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHashes, pack_text, read, staged, unpack_text
+from .common import RunHashes, pack_text, read, slices, staged, unpack_text
 from .parsing import triggers
 from .tokens import Encoder, encoder, vocabulary_file
 
@@ -46,7 +46,7 @@ def chunk_hashes(data: bytes, borders: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, ch, c) for each different chunk of a text."""
-    for b in batches:
+    for b in slices(batches):
         keys, hashes, counts = [], [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -61,7 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack_text(t) for t in b.column(2).to_pylist()], pa.binary())], ["key", "doc_id", "packed"])
 
 
@@ -136,7 +136,7 @@ def _own(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number = encoder(path), TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc_id, packed, chunks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data, shared = unpack_text(packed), {x["ch"]: x["own"] for x in chunks or ()}
@@ -166,7 +166,7 @@ def _own(path: str):
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, ch) for each different chunk of an open text; those that nobody published fall out in the join."""
-    for b in batches:
+    for b in slices(batches):
         rows, hashes = [], []
         for row, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             data = unpack_text(packed)
@@ -180,7 +180,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fill(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for packed, chunks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data, given = unpack_text(packed), {x["ch"]: x["ids"] for x in chunks or ()}
@@ -223,7 +223,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         names = np.array([str(i) for i in range(enc.size)], object)
-        for b in batches:
+        for b in slices(batches):
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 n, text, decoded = [], [], []

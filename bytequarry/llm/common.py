@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "minima", "runs"]
+__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "minima", "runs", "slices"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -139,6 +139,8 @@ def unpack_text(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
-def batches_of(columns: dict[str, list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if columns and len(next(iter(columns.values()))):
-        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that a worker holds the Python values of few long texts at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)

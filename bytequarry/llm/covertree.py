@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, runs, staged, width
+from .common import read, runs, slices, staged, width
 from .graph import components
 
 __all__ = ["embedding_duplicates", "op7_covertree"]
@@ -66,7 +66,7 @@ def top_centres(x: np.ndarray) -> np.ndarray:
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, vec_id, dim, data): data is null for vectors that link with nothing."""
     number = TaskContext.get().partitionId() << 33
-    for b in batches:
+    for b in slices(batches):
         dims, data = [], []
         for v in b.column(1).to_pylist():
             x = np.array([np.nan if e is None else e for e in v or ()], np.float64)
@@ -82,7 +82,7 @@ def _assign(centres: np.ndarray):
     """Adds cell and distance to its centre; other dimensions have one cell each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             dims = b.column(1).to_numpy()
             cell, far = np.zeros(len(dims), np.int32), np.full(len(dims), 2.0)
             own = np.flatnonzero(dims == centres.shape[1])
@@ -116,7 +116,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(line.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["dim", "cell", "block", "row", "data", "at", "path"])
 
     rows: list[tuple] = []
-    for b in batches:
+    for b in slices(batches):
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if rows and r[:3] != rows[-1][:3]:
                 yield tree(rows)
@@ -218,7 +218,7 @@ def _compare(cosine: float):
             if sides[0] and (own or sides[1]):
                 yield decide(sides[0], None if own else sides[1])
 
-        for b in batches:
+        for b in slices(batches):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[:5] != now:
                     if now:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read
+from .common import mix64, read, slices
 
 __all__ = ["identify_languages", "train_languages", "op8_language"]
 
@@ -44,7 +44,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x = [grams(t).astype("<u2").tobytes() if LETTER.search(t) else None for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
@@ -87,7 +87,7 @@ def _score(model, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = model.value
         table = np.array([*names, "und"], object)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             best, score = np.full(len(texts), len(names)), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, slices
 
 __all__ = ["BASE", "Rule", "license_rules", "scan_licenses", "op3_licenses"]
 
@@ -197,7 +197,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rules = license_rules()
     gate = frozenset().union(*(r.keywords for r in rules))
     raw_gate = frozenset(k.encode() for k in gate)
-    for b in batches:
+    for b in slices(batches):
         out: list[list] = [[] for _ in range(7)]
         for text in b.column(1).to_pylist():
             words = words_of(text)

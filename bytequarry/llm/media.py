@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, runs, shared_folder, staged, width
+from .common import read, runs, shared_folder, slices, staged, width
 
 __all__ = ["media_metadata", "read_media", "store_texts", "op10_media"]
 
@@ -95,7 +95,7 @@ class _Shards:
 def _store(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, seen = _Shards(folder), {}
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for text in b.column(1).to_pylist():
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -134,7 +134,7 @@ def _ranges(folder: str, most: int | None, decode, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = fs.FileSystem.from_uri(folder)
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             digests, names, offsets, lengths = (c.to_pylist() for c in b.columns)

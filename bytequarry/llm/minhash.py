@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_B, lower_words, mix64, pack_text, read, shingle_set, staged, unpack_text, width
+from .common import MIX_B, lower_words, mix64, pack_text, read, shingle_set, slices, staged, unpack_text, width
 from .graph import components
 
 __all__ = ["near_duplicates", "op1_minhash"]
@@ -63,7 +63,7 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
 
 def _sign(size: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, cls, sig = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(lower_words(text), size)
@@ -80,7 +80,7 @@ def _post(coordinates: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(coordinates, dtype=np.uint64) + np.uint64(77))
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, coordinates)
                 keys = mix64(values + salt).astype(np.int64).ravel()
@@ -90,7 +90,7 @@ def _post(coordinates: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack_text(t) for t in b.column(1).to_pylist()], pa.binary())], ["rep", "packed"])
 
 
@@ -98,7 +98,7 @@ def _of_class(size: int):
     """Keeps the texts whose shingle set is that of the class: a doc_id may stand on several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             same = [c == xxhash.xxh3_64_intdigest(shingle_set(_words(t), size).tobytes()) - 2**63 for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 
@@ -174,7 +174,7 @@ def _decide(size: int, percent: int):
             out.clear()
             return pairs
 
-        for b in batches:
+        for b in slices(batches):
             for u1, u2, u3, side, cls, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (u1, u2, u3) != now:
                     if rows:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, staged, width
+from .common import read, slices, staged, width
 from .tokens import encoder, vocabulary_file
 
 __all__ = ["pack_documents", "op4_packing"]
@@ -82,7 +82,7 @@ def _pack(path: str, end: int, capacity: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, packer = encoder(path), TaskContext.get().partitionId(), Packer(capacity, limit)
         base = part << 32
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(enc.encode((text or "").encode("utf-8", "surrogatepass")), np.uint32(end))
                 packer.add(doc_id, 0, len(ids), ids)
@@ -104,7 +104,7 @@ def _merge(level: int, capacity: int, last: bool):
             yield _rows(packer.done, base, now, False, capacity)
             yield _rows([(w[0], w[2]) for w in packer.windows], base, now, not last, capacity)
 
-        for b in batches:
+        for b in slices(batches):
             for group, doc_id, start, tokens, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group != now:
                     if packer:

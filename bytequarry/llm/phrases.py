@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHashes, drop_staged, minima, pack_text, read, runs, staged, unpack_text, width, word_hashes
+from .common import RunHashes, drop_staged, minima, pack_text, read, runs, slices, staged, unpack_text, width, word_hashes
 
 __all__ = ["repeated_passages", "op9_phrases"]
 
@@ -46,7 +46,7 @@ def _count(window: int, phrase: int):
     """Rows (hash, shard, c): how often the anchor stands in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found, counts, shards = [], [], []
             for shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
@@ -62,7 +62,7 @@ def _count(window: int, phrase: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         n = b.num_rows
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), b.column(1), b.column(2), pa.array([pack_text(t) for t in b.column(3).to_pylist()], pa.binary())], ["shard", "kind", "hash", "doc_id", "carry", "packed"])
 
@@ -113,7 +113,7 @@ def _locate(window: int, phrase: int):
             known = np.unique(np.concatenate(hashes).astype(np.uint64)) if hashes else np.zeros(0, np.uint64)
             return shard(known, docs, number)
 
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             shards, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -137,7 +137,7 @@ def _windows(window: int):
     """Rows (h, doc_id, row, s) for each window of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], []]
             for row, doc_id, packed, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = np.unique(np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in blocks]))
@@ -161,7 +161,7 @@ def _cut(window: int):
     """Removes the words of the windows from the texts; the layout between kept words stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total, gone, spans, kept = [], [], [], []
             for packed, ranges in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = unpack_text(packed)

@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "Codec", "align", "ascii_int", "bit_list", "bits", "bytes_", "codec", "compressed_int", "decimal96", "flag_names", "flags",
-    "fixed_string", "float32", "float64", "guid", "hexed", "masked", "nul_string", "prefixed_string", "remainder", "signed_low_bit",
+    "Codec", "align", "ascii_int", "bind", "bit_list", "bits", "bytes_", "codec", "compressed_int", "decimal96", "flag_names", "flags",
+    "fixed_string", "float32", "float64", "guid", "hexed", "masked", "nul_string", "once", "prefixed_string", "remainder", "signed_low_bit",
     "sint", "timestamp", "uint", "uleb128_list", "version",
 ]
 
@@ -25,16 +25,29 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: expressions that name a long one several times else grow without bound."""
+    if len(str(value)) <= 60:
+        return use(value)
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """The value as a column that later projections refer to instead of repeating its expression."""
+    return F.get(F.transform(F.array(F.lit(0)), lambda _: value), F.lit(0))
+
+
 def bytes_(data: Column, offset, size) -> Column:
     """``size`` bytes at ``offset``; null if they are not all there."""
-    offset, size = _col(offset).cast("long"), _col(size).cast("long")
-    inside = (offset >= 0) & (size >= 0) & (offset + size <= F.length(data))
-    return F.when(inside, F.substring(data, (offset + 1).cast("int"), size.cast("int")))
+
+    def cut(d: Column, o: Column, n: Column) -> Column:
+        return F.when((o >= 0) & (n >= 0) & (o + n <= F.length(d)), F.substring(d, (o + 1).cast("int"), n.cast("int")))
+
+    return bind(data, lambda d: bind(_col(offset).cast("long"), lambda o: bind(_col(size).cast("long"), lambda n: cut(d, o, n))))
 
 
 def remainder(data: Column, offset) -> Column:
-    offset = _col(offset)
-    return F.when((offset >= 0) & (offset <= F.length(data)), F.substring(data, (offset + 1).cast("int"), F.length(data)))
+    return bind(data, lambda d: bind(_col(offset), lambda o: F.when((o >= 0) & (o <= F.length(d)), F.substring(d, (o + 1).cast("int"), F.length(d)))))
 
 
 def _digits(data: Column, offset, size: int, big: Column | bool) -> Column:
@@ -42,8 +55,12 @@ def _digits(data: Column, offset, size: int, big: Column | bool) -> Column:
     text = F.hex(bytes_(data, offset, size))
     if size == 1 or big is True:
         return text
-    little = F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))))
-    return little if big is False else F.when(big, text).otherwise(little)
+
+    def order(t: Column) -> Column:
+        little = F.concat(*(F.substring(t, 2 * i + 1, 2) for i in reversed(range(size))))
+        return little if big is False else F.when(big, t).otherwise(little)
+
+    return F.get(F.transform(F.array(text), order), F.lit(0))
 
 
 def uint(data: Column, offset, size: int, big: Column | bool = False) -> Column:
@@ -56,12 +73,16 @@ def sint(data: Column, offset, size: int, big: Column | bool = False) -> Column:
     """Two's complement: INT up to 4 bytes, else BIGINT."""
     if size == 8:
         return F.conv(_digits(data, offset, 8, big), 16, -10).cast("bigint")
-    value, half = uint(data, offset, size, big).cast("bigint"), 1 << (8 * size - 1)
-    return F.when(value >= half, value - 2 * half).otherwise(value).cast("int")
+    half = 1 << (8 * size - 1)
+    return bind(uint(data, offset, size, big).cast("bigint"), lambda v: F.when(v >= half, v - 2 * half).otherwise(v)).cast("int")
 
 
 def _ieee(data: Column, offset, size: int, big: Column | bool, exponent: int, bias: int) -> Column:
-    raw, width = F.conv(_digits(data, offset, size, big), 16, -10).cast("bigint"), 8 * size - 1 - exponent
+    return bind(F.conv(_digits(data, offset, size, big), 16, -10).cast("bigint"), lambda raw: _of_bits(raw, size, exponent, bias))
+
+
+def _of_bits(raw: Column, size: int, exponent: int, bias: int) -> Column:
+    width = 8 * size - 1 - exponent
     mantissa = raw.bitwiseAND(F.lit((1 << width) - 1)).cast("double")
     power = F.shiftrightunsigned(raw, width).bitwiseAND(F.lit((1 << exponent) - 1))
     sign = F.when(F.shiftrightunsigned(raw, 8 * size - 1).bitwiseAND(F.lit(1)) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -92,9 +113,11 @@ def fixed_string(data: Column, offset, size, charset: str = "UTF-8", zero_ends:
 
 def nul_string(data: Column, offset, stop: str = "\x00", charset: str = "UTF-8") -> Column:
     """Text up to the next NUL (or other ASCII ``stop``) or the end; the search is by byte, not by character."""
-    rest = remainder(data, offset)
-    at = F.instr(F.decode(rest, "ISO-8859-1"), stop)
-    return F.decode(F.when(at > 0, F.substring(rest, 1, at - 1)).otherwise(rest), charset)
+
+    def cut(rest: Column) -> Column:
+        return bind(F.instr(F.decode(rest, "ISO-8859-1"), stop), lambda at: F.decode(F.when(at > 0, F.substring(rest, F.lit(1), at - 1)).otherwise(rest), charset))
+
+    return bind(remainder(data, offset), cut)
 
 
 def prefixed_string(data: Column, offset, prefix: int = 1, charset: str = "UTF-8", unit: int = 1) -> Column:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .codecs import bytes_, codec
+from .codecs import bind, bytes_, codec
 
 __all__ = ["Layout", "either", "records"]
 
@@ -60,8 +60,14 @@ def records(data: Column, offset: Column, count: Column, stride, one, most: int
     impossible offset or count gives no records.
     """
     stride = stride if isinstance(stride, Column) else F.lit(stride)
-    offset, count = offset.cast("bigint"), count.cast("bigint")
-    fits = F.when((stride > 0) & (offset >= 0) & (offset <= F.length(data)), F.floor((F.length(data) - offset) / stride))
-    n = F.coalesce(F.least(count, fits, F.lit(most)), F.lit(0)).cast("int")
-    table = F.coalesce(bytes_(data, offset, n * stride), F.lit(b""))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: one(table, i * stride, i))).otherwise(F.array())
+
+    def build(d: Column, o: Column, s: Column, n: Column) -> Column:
+        table = F.coalesce(bytes_(d, o, n * s), F.lit(b""))
+        return bind(table, lambda t: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: one(t, i * s, i))).otherwise(F.array()))
+
+    def count_of(d: Column, o: Column, s: Column) -> Column:
+        fits = F.when((s > 0) & (o >= 0) & (o <= F.length(d)), F.floor((F.length(d) - o) / s))
+        n = count.cast("bigint")
+        return F.when(n.isNotNull() & fits.isNotNull(), F.least(n, fits, F.lit(most))).otherwise(0).cast("int")
+
+    return bind(data, lambda d: bind(offset.cast("bigint"), lambda o: bind(stride, lambda s: bind(count_of(d, o, s), lambda n: build(d, o, s, n)))))

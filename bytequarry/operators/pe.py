@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bind, bytes_, flag_names, nul_string, once, remainder, timestamp, uint
+from ..functions.codecs import bind, bytes_, flag_names, nul_string, once, remainder, sint, timestamp, uint
 from ..functions.enums import codes, name_of, names
-from ..functions.layouts import Layout, either, records
+from ..functions.layouts import Layout, records
 
 __all__ = [
     "coff_import_symbols", "coff_sections", "directory_bytes", "opened", "pe_directories", "pe_exports", "pe_header", "pe_imports", "pe_resources",
@@ -35,26 +35,23 @@ def content() -> Column:
 
 
 def opened(images: DataFrame) -> DataFrame:
-    """image_id, content, dos, is_pe, file, opt, directories, sections of images that start with MZ.
+    """image_id, content, at (of the PE mark), is_pe, n_sections, opt_size, magic, directories, sections of images that start with MZ.
 
-    An image without the PE mark has no sections; an optional header that is neither 32- nor 64-bit is null.
+    An image without the PE mark has no sections and no directories; nor has one whose optional header is
+    neither 32- nor 64-bit directories.
     """
-    rows = images.where(F.substring("content", 1, 2) == F.lit(b"MZ")).select("image_id", "content").withColumn("dos", once(DOS.struct(content())))
-    at = F.col("dos.lfanew").cast("bigint")
-    rows = rows.withColumn("is_pe", F.coalesce(bytes_(content(), at, 4) == F.lit(b"PE\x00\x00"), F.lit(False)))
-    rows = rows.withColumn("file", once(F.when(F.col("is_pe"), FILE.struct(content(), at + 4))))
-    start = at + 4 + FILE.size
-    rows = rows.withColumn("magic", once(F.when(F.col("file.SizeOfOptionalHeader") > 0, uint(content(), start, 2)))).withColumn("body", once(bytes_(content(), start, F.col("file.SizeOfOptionalHeader"))))
-    magic, body = F.col("magic"), F.col("body")
-    wide = magic == 0x20B
-    long_, short = OPTIONAL[64].read(body), OPTIONAL[32].read(body)
-    opt = F.struct(*(c.alias(n) for n, c in either(wide, long_, short).items()), F.when(~wide, short["BaseOfData"]).alias("BaseOfData"))
-    rows = rows.withColumn("opt", once(F.when(magic.isin(0x10B, 0x20B), opt)))
-    first = start + F.when(F.col("opt.Magic") == 0x20B, OPTIONAL[64].size).otherwise(OPTIONAL[32].size)
-    room = F.floor((start + F.col("file.SizeOfOptionalHeader") - first) / 8)
-    table = records(content(), first, F.least(F.col("opt.NumberOfDirectories"), room), 8, lambda t, o, i: F.struct(i.alias("pos"), uint(t, o, 4).alias("VirtualAddress"), uint(t, o + 4, 4).alias("Size")))
-    rows = rows.withColumn("directories", F.when(F.col("opt").isNotNull(), table))
-    return rows.withColumn("sections", _sections(content(), start + F.col("file.SizeOfOptionalHeader"), F.col("file.NumberOfSections")))
+    c = content()
+    rows = images.where(F.substring("content", 1, 2) == F.lit(b"MZ")).select("image_id", "content").withColumn("at", once(sint(c, 60, 4).cast("bigint")))
+    at = F.col("at")
+    rows = rows.withColumn("is_pe", once(F.coalesce(bytes_(c, at, 4) == F.lit(b"PE\x00\x00"), F.lit(False))))
+    field = lambda o, n: once(F.when(F.col("is_pe"), uint(c, at + o, n)))
+    rows = rows.withColumns({"n_sections": field(6, 2), "opt_size": field(20, 2), "magic": field(24, 2)})
+    start, wide = at + 24, F.col("magic") == 0x20B
+    head = F.when(wide, OPTIONAL[64].size).otherwise(F.when(F.col("magic") == 0x10B, OPTIONAL[32].size))
+    rows = rows.withColumn("head", once(F.when(F.col("opt_size") >= head, head))).withColumn("n_dirs", once(uint(c, start + F.col("head") - 4, 4)))
+    count = F.least("n_dirs", F.floor((F.col("opt_size") - F.col("head")) / 8))
+    table = records(c, start + F.col("head"), count, 8, lambda t, o, i: F.struct(i.alias("pos"), uint(t, o, 4).alias("VirtualAddress"), uint(t, o + 4, 4).alias("Size")))
+    return rows.withColumns({"directories": once(table), "sections": once(_sections(c, start + F.col("opt_size"), F.col("n_sections")))})
 
 
 def _sections(data: Column, offset: Column, count: Column) -> Column:
@@ -92,7 +89,21 @@ def _section_rows(rows: DataFrame, with_data: bool) -> DataFrame:
 
 def pe_header(images: DataFrame) -> DataFrame:
     """image_id, is_pe, the DOS, file and optional header as structs, with names for machine, magic and DLL flags."""
-    return opened(images).select("image_id", "is_pe", "dos", "file", "opt", name_of(F.col("file.Machine"), "COFF_MACHINE").alias("machine_name"), name_of(F.col("opt.Magic"), "PE_MAGIC").alias("magic_name"), flag_names(F.col("opt.DllCharacteristics"), codes("PE_DLL")).alias("dll_flag_names"), timestamp(F.col("file.TimeDateStamp")).alias("linked_at"))
+    rows = opened(images).select("image_id", "content", "at", "is_pe", "opt_size", "magic")
+    body = bytes_(content(), F.col("at") + 24, F.col("opt_size"))
+    rows = rows.withColumns({"dos": once(DOS.struct(content())), "file": once(F.when(F.col("is_pe"), FILE.struct(content(), F.col("at") + 4))), "body": once(body)})
+    opt = F.when(F.col("magic") == 0x20B, _optional(64)).when(F.col("magic") == 0x10B, _optional(32))
+    rows = rows.select("image_id", "is_pe", "dos", "file", once(opt).alias("opt"))
+    return rows.select("image_id", "is_pe", "dos", "file", "opt", name_of(F.col("file.Machine"), "COFF_MACHINE").alias("machine_name"), name_of(F.col("opt.Magic"), "PE_MAGIC").alias("magic_name"), flag_names(F.col("opt.DllCharacteristics"), codes("PE_DLL")).alias("dll_flag_names"), timestamp(F.col("file.TimeDateStamp")).alias("linked_at"))
+
+
+def _optional(bits_: int) -> Column:
+    """The optional header from ``body``; both widths have the same fields and types."""
+    fields = OPTIONAL[bits_].read(F.col("body"))
+    base = fields.get("BaseOfData", F.lit(None).cast("bigint"))
+    wide = ("ImageBase", "SizeOfStackReserve", "SizeOfStackCommit", "SizeOfHeapReserve", "SizeOfHeapCommit")
+    same = [(c.cast("decimal(20,0)") if n in wide else c).alias(n) for n, c in fields.items() if n != "BaseOfData"]
+    return F.struct(*same, base.alias("BaseOfData"))
 
 
 def pe_sections(images: DataFrame, with_data: bool = False) -> DataFrame:
@@ -175,7 +186,7 @@ def pe_imports(images: DataFrame) -> DataFrame:
     Descriptors end at one whose import lookup table is 0. Thunks are as wide as the image; the lookup table is
     read where it resolves, else the address table. An import by ordinal is named ``ordinal_N``.
     """
-    rows = directory_bytes(images, "IMPORT").withColumn("width", F.when(F.col("opt.Magic") == 0x20B, 8).otherwise(4))
+    rows = directory_bytes(images, "IMPORT").withColumn("width", F.when(F.col("magic") == 0x20B, 8).otherwise(4))
     rest = F.coalesce(remainder(rva_bytes(F.col("base")), F.lit(0)), F.col("data"))
     all_ = records(rest, F.lit(0), F.floor(F.length(rest) / IMPORTS.size), IMPORTS.size, lambda t, o, i: F.struct(i.alias("pos"), IMPORTS.struct(t, o).alias("v")))
     few = records(rest, F.lit(0), F.lit(256), IMPORTS.size, lambda t, o, i: F.struct(i.alias("pos"), IMPORTS.struct(t, o).alias("v")))

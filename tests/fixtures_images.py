@@ -95,3 +95,30 @@ def pe(bits=64, exports=((b"beta", 0x1010), (b"alpha", 0x1000), (b"gamma", 0x101
     file = struct.pack("<HHIIIHH", 0x8664 if bits == 64 else 0x14C, 1, 86400, 0, 0, len(opt), 0x22)
     sec = struct.pack("<8sIIIIIIHHI", b".text", len(data), 0x1000, size, 0x400, 0, 0, 0, 0, 0x60500020)
     return (dos.ljust(0x80, b"\0") + b"PE\0\0" + file + opt + sec).ljust(0x400, b"\0") + raw, base, bytes(data)
+
+
+def mach(bits=64, big=False, starts=(0x10, 0x205, 0x3), text=0x100000000):
+    o, w = ">" if big else "<", "Q" if bits == 64 else "I"
+    text = text if bits == 64 else 0x1000
+    pad = lambda b, n: b.ljust(n, b"\0")
+    sect = struct.pack(o + f"16s16s{w}{w}IIIIIII", b"__text", b"__TEXT", text + 16, 8, 0, 4, 0, 0, 0x80000400, 0, 0) + (bytes(4) if bits == 64 else b"")
+    seg = struct.pack(o + f"16s{w}{w}{w}{w}IIII", b"__TEXT", text, 0x1000, 0, 64, 7, 5, 1, 1) + sect
+    dylib = struct.pack(o + "IIII", 24, 2, 0x00010203, 0x00010000) + pad(b"/usr/lib/x.dylib\0", 24)
+    uuid, rpath = bytes(range(16)), struct.pack(o + "I", 12) + pad(b"@loader\0", 12)
+    build = struct.pack(o + "IIIIII", 1, 0x000B0000, 0x000C0100, 1, 3, 0x02000000)
+    uleb = b""
+    for v in starts:
+        while v > 127:
+            uleb += bytes([v & 127 | 128])
+            v >>= 7
+        uleb += bytes([v])
+    uleb = pad(uleb, 8)
+    sym = struct.pack(o + f"IBBH{w}", 1, 0x0F, 1, 2, text + 16) + struct.pack(o + f"IBBH{w}", 7, 0x01, 0, 0, 0)
+    names = b"\0_main\0_puts\0\0"
+    dice = struct.pack(o + "IHH", 8, 4, 3)
+    cmds = [(0x19 if bits == 64 else 1, seg), (0xC, dylib), (0x1B, uuid), (0x8000001C, rpath), (0x32, build), (0x99, b"\1\2\3\4")]
+    size = sum(8 + len(p) for _, p in cmds) + 24 + 16 + 16
+    at = (32 if bits == 64 else 28) + size
+    cmds += [(2, struct.pack(o + "IIII", at, 2, at + len(sym), len(names))), (0x26, struct.pack(o + "II", at + len(sym) + len(names), len(uleb))), (0x29, struct.pack(o + "II", at + len(sym) + len(names) + len(uleb), 8))]
+    head = struct.pack(o + "IIIIIII", 0xFEEDFACF if bits == 64 else 0xFEEDFACE, 0x01000007 if bits == 64 else 7, 0x80000003, 2, len(cmds), size, 0x200085) + (bytes(4) if bits == 64 else b"")
+    return head + b"".join(struct.pack(o + "II", c, 8 + len(p)) + p for c, p in cmds) + sym + names + uleb + dice

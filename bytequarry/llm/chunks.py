@@ -2,7 +2,7 @@
 
 1. A rolling hash cuts every text into chunks, at places that depend on the text near them only; chunk hashes
 are counted over the corpus. 2. A chunk that stands twice or more is owned by one document, which encodes it
-and publishes its ids; other documents take them by join and encode only the rest. 3. Where chunks meet, ids
+and publishes its ids; all documents that hold it take them by join and encode only the rest. 3. Where chunks meet, ids
 are repaired: the text between the next sure pre-token borders on both sides of the joint is encoded anew,
 and the stretch grows until its ends agree with token borders of the chunks' ids. A sure border is an ASCII
 space after a visible ASCII character, since no pre-token and no special token spans it.
@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHashes, pack_text, read, slices, staged, unpack_text
+from .common import RunHashes, drop_staged, pack_text, read, slices, staged, unpack_text
 from .parsing import triggers
 from .tokens import Encoder, encoder, vocabulary_file
 
@@ -86,8 +85,8 @@ def sure_after(data: bytes, at: int) -> int:
 
 def join_ids(enc: Encoder, data: bytes, borders: list[int], ids: list[np.ndarray]) -> np.ndarray:
     """The ids of the text from those of its segments, which lie between the borders."""
-    if len(ids) == 1:
-        return ids[0]
+    if len(ids) < 2:
+        return ids[0] if ids else np.zeros(0, np.uint32)
     ends = [lo + np.cumsum(enc.lengths[x]) for lo, x in zip(borders[:-1], ids, strict=True)]
 
     def agrees(place: int) -> bool:
@@ -132,51 +131,25 @@ def _segments(hashes: list[int], borders: list[int], shared: dict[int, bool]) ->
 
 
 def _own(path: str):
-    """A row for each text (its ids, or its packed text where chunks of others are missing) and for each published chunk."""
+    """Rows (ch, ids) for the chunks that a text owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, number = encoder(path), TaskContext.get().partitionId() << 33
+        enc = encoder(path)
         for b in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, packed, chunks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, shared = unpack_text(packed), {x["ch"]: x["own"] for x in chunks or ()}
-                number += 1
-                if not shared:
-                    rows.append((number, doc_id, None, enc.encode(data).astype(enc.dtype).tobytes(), None))
-                    continue
+            hashes, ids = [], []
+            for packed, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data, left = unpack_text(packed), set(own)
                 borders = cuts(data)
-                found: dict[int, np.ndarray] = {}
-                hashes = chunk_hashes(data, borders).tolist()
-                for h, lo, hi in zip(hashes, borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                    if shared.get(h) and h not in found:
-                        found[h] = enc.encode(data[lo:hi])
-                        rows.append((None, None, h, found[h].astype(enc.dtype).tobytes(), None))
-                if all(shared.values()):
-                    parts = _segments(hashes, borders.tolist(), shared)
-                    ids = join_ids(enc, data, [0, *(e for _, e, _ in parts)], [enc.encode(data[s:e]) if h is None else found[h] for s, e, h in parts])
-                    rows.append((number, doc_id, None, ids.astype(enc.dtype).tobytes(), None))
-                else:
-                    rows.append((number, doc_id, None, None, packed))
-            x = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(x, kinds, strict=True)], ["row", "doc_id", "ch", "ids", "packed"])
+                for h, lo, hi in zip(chunk_hashes(data, borders).tolist(), borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                    if h in left:
+                        left.discard(h)
+                        hashes.append(h)
+                        ids.append(enc.encode(data[lo:hi]).astype(enc.dtype).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.binary())], ["ch", "ids"])
 
     return run
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, ch) for each different chunk of an open text; those that nobody published fall out in the join."""
-    for b in slices(batches):
-        rows, hashes = [], []
-        for row, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            data = unpack_text(packed)
-            u = np.unique(chunk_hashes(data, cuts(data)))
-            rows.append(np.full(len(u), row, np.int64))
-            hashes.append(u)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], ["row", "ch"])
-
-
 def _fill(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -204,15 +177,15 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     counted = staged(docs.select("key", "text").mapInArrow(_count, "key long, ch long, c long"), "chunks")
     shared = counted.groupBy("ch").agg(F.sum("c").alias("c"), F.min("key").alias("owner")).where("c > 1").select("ch", "owner")
-    held = counted.join(shared, "ch").groupBy("key").agg(F.collect_list(F.struct("ch", (F.col("key") == F.col("owner")).alias("own"))).alias("chunks"))
+    held = staged(counted.join(shared, "ch").select("key", "ch", (F.col("key") == F.col("owner")).alias("own")), "held")
+    drop_staged(counted)
     texts = docs.select("key", "doc_id", "text").mapInArrow(_pack, "key long, doc_id long, packed binary")
-    own = staged(texts.join(held, "key", "left").select("doc_id", "packed", "chunks").mapInArrow(_own(path), "row long, doc_id long, ch long, ids binary, packed binary"), "own")
-    whole = own.where("row is not null and ids is not null").select("doc_id", "ids")
-    open_ = own.where("packed is not null")
-    published = own.where("ch is not null").select("ch", "ids")
-    given = open_.select("row", "packed").mapInArrow(_wanted, "row long, ch long").join(published, "ch").groupBy("row").agg(F.collect_list(F.struct("ch", "ids")).alias("chunks"))
-    filled = open_.select("row", "doc_id", "packed").join(given, "row", "left").select("doc_id", "packed", "chunks").mapInArrow(_fill(path), "doc_id long, ids binary")
-    return whole.union(filled)
+    owned = held.where("own").groupBy("key").agg(F.collect_list("ch").alias("own"))
+    published = texts.join(owned, "key").select("packed", "own").mapInArrow(_own(path), "ch long, ids binary")
+    published = staged(published, "published")
+    given = staged(held.select("key", "ch").join(published, "ch").groupBy("key").agg(F.collect_list(F.struct("ch", "ids")).alias("chunks")), "given")
+    drop_staged(published)
+    return texts.join(given, "key", "left").select("doc_id", "packed", "chunks").mapInArrow(_fill(path), "doc_id long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -222,17 +195,14 @@ def decode_ids(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        names = np.array([str(i) for i in range(enc.size)], object)
         for b in slices(batches):
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                n, text, decoded = [], [], []
-                for data in part.column(1).to_pylist():
-                    ids = np.frombuffer(data or b"", enc.dtype)
-                    n.append(len(ids))
-                    text.append(",".join(names[ids]))
-                    decoded.append(enc.decode(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(decoded, pa.binary()).cast(pa.string())], ["doc_id", "n_tokens", "ids_text", "decoded"])
+            n, text, decoded = [], [], []
+            for data in b.column(1).to_pylist():
+                ids = np.frombuffer(data or b"", enc.dtype)
+                n.append(len(ids))
+                text.append(enc.decimals(ids))
+                decoded.append(enc.decode(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (text, decoded))], ["doc_id", "n_tokens", "ids_text", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_text string, decoded string")
 

@@ -7,7 +7,7 @@ repeated at every occurrence. 3. For other blocks whose trigger context recurs,
 dictionary, read backwards from the trigger) and the right contexts (the parse) are put into suffix order,
 each with the common lengths of neighbours; both orders together tell for every start in the block whether
 another string agrees on all bytes. Contexts are routed by the trigger's content, a shard holds whole
-trigger groups; groups too large for one shard are decided by counting their single strings.
+trigger groups; groups too large for one task are decided by counting parts of their contexts.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHashes, drop_staged, pack_text, read, runs, staged, unpack_text, width
+from .common import RunHashes, drop_staged, pack_text, read, runs, slices, staged, unpack_text, width
 
 __all__ = ["repeated_strings", "op2_parsing"]
 
 #: Bytes of a trigger's gram and most starts of one block, for strings of 400 bytes; shorter strings scale both down.
 GRAM, SPREAD = 32, 256
-#: Contexts of one trigger that are put into suffix order together; groups beyond are counted string by string.
+#: Contexts of one trigger that are put into suffix order together; groups beyond are decided by counting.
 GROUP = 200
 #: Contexts of one suffix order.
 ORDER = 8192
+#: String starts of a part, in groups beyond GROUP.
+PART = 16
 
 BLOCKS = pa.list_(pa.struct([("bh", pa.int64()), ("ah", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("t", pa.int32())]))
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -64,7 +66,7 @@ def _parse(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in slices(batches):
             packed, blocks = [], []
             for text in b.column(1).to_pylist():
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -90,7 +92,7 @@ def _contexts(length: int):
     """The bytes of each open block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [[] for _ in range(8)]
             for row, packed, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = unpack_text(packed)
@@ -165,7 +167,7 @@ def _order(length: int):
             x = list(zip(*found, strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int32())], ["row", "s", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if len(rows) >= ORDER and r[0] != rows[-1][0]:
                     yield batch(decide(rows))
@@ -177,25 +179,70 @@ def _order(length: int):
     return run
 
 
+def _parts(length: int):
+    """Rows (core, whole, row, s, first, n, single) for each part of a context: up to PART starts, on a grid from the trigger.
+
+    The core are the bytes that all strings of a full part hold, the whole all bytes of the part's strings.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = [[] for _ in range(7)]
+            for single, row, s, n, t, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                before = t - np.arange(n)
+                lo, hi = runs(before // PART)
+                grid = before[lo] // PART * PART
+                h, size = _hashes(context), len(lo)
+                core = h.of(t - grid, t - grid - (PART - 1) + length)
+                whole = h.of(lo, hi - 1 + length)
+                for o, v in zip(out, (core.astype(np.int64), whole.astype(np.int64), np.full(size, row), np.full(size, s), s + lo, hi - lo, np.full(size, single)), strict=True):
+                    o.append(v)
+            if out[0]:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)).cast(k) for o, k in zip(out, kinds, strict=True)], ["core", "whole", "row", "s", "first", "n", "single"])
+
+    return run
+
+
 def _strings(length: int):
-    """Rows (h, row, s, single) for each string of the contexts."""
+    """Rows (h, row, s, single) for each string of the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], []]
-            for single, row, s, n, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = np.arange(n)
-                for o, v in zip(out, (_hashes(context).of(at, at + length).astype(np.int64), np.full(n, row), at + s, np.full(n, single)), strict=True):
-                    o.append(v)
+            for row, s, context, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = _hashes(context)
+                for x in parts:
+                    at = np.arange(x["first"] - s, x["first"] - s + x["n"])
+                    for o, v in zip(out, (h.of(at, at + length).astype(np.int64), np.full(len(at), row), at + s, np.full(len(at), x["single"])), strict=True):
+                        o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(np.concatenate(out[3]))], ["h", "row", "s", "single"])
 
     return run
 
 
+def _hot(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated starts (row, s, n) of blocks in large trigger groups, by counting parts and then single strings.
+
+    A part that stands twice as a whole is repeated; one whose core stands once is not; only of other parts,
+    one of each kind, are the strings counted. All counts are pre-aggregated, so no group meets in one task.
+    """
+    parts = contexts.select("single", "row", "s", "n", "t", "context").mapInArrow(_parts(length), "core long, whole long, row long, s int, first int, n int, single boolean")
+    parts = staged(parts, "parts")
+    kinds = staged(parts.groupBy("whole").agg(F.count("*").alias("c"), F.min("core").alias("core"), F.min(F.struct("row", "s", "first", "n", "single")).alias("p")), "kinds")
+    whole = parts.where("single").join(kinds.where("c > 1").select("whole"), "whole").select("row", F.col("first").alias("s"), "n")
+    mixed = kinds.groupBy("core").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("core")
+    open_ = kinds.join(mixed, "core").groupBy("p.row", "p.s").agg(F.collect_list(F.struct("p.first", "p.n", (F.col("p.single") & (F.col("c") == 1)).alias("single"))).alias("parts"))
+    strings = contexts.select("row", "s", "context").join(open_, ["row", "s"]).select("row", "s", "context", "parts").mapInArrow(_strings(length), "h long, row long, s int, single boolean")
+    strings = staged(strings, "strings")
+    twice = strings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return whole.union(strings.where("single").join(twice, "h").select("row", "s", F.lit(1).alias("n")))
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total, gone, spans, kept = [], [], [], []
             for packed, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = unpack_text(packed)
@@ -240,11 +287,9 @@ def repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
     cold = contexts.where("not hot").select("ah", "single", "row", "s", "n", "t", "context")
     found = cold.repartition(n_tasks, "ah").sortWithinPartitions("ah").mapInArrow(_order(length), "row long, s int, n int")
     cut = whole.union(found)
-    hot = contexts.where("hot").select("single", "row", "s", "n", "context")
+    hot = contexts.where("hot")
     if not hot.isEmpty():
-        strings = staged(hot.mapInArrow(_strings(length), "h long, row long, s int, single boolean"), "strings")
-        twice = strings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-        cut = cut.union(strings.where("single").join(twice, "h").select("row", "s", F.lit(1).alias("n")))
+        cut = cut.union(_hot(hot, length))
     cut = staged(cut.groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "cut")
     drop_staged(again)
     drop_staged(contexts)

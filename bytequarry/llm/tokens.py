@@ -49,6 +49,11 @@ class Encoder:
         self.size = 1 + max(max(ranks.values()), max(special.values(), default=0))
         table = {v: k for k, v in ranks.items()} | {v: k.encode() for k, v in special.items()}
         self.lengths = np.array([len(table.get(i, b"")) for i in range(self.size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(table.get(i, b"") for i in range(self.size)), np.uint8)
+        width = len(str(self.size)) + 1
+        written = [f"{i},".encode() for i in range(self.size)]
+        self.digits = np.frombuffer(b"".join(x.ljust(width) for x in written), np.uint8).reshape(self.size, width)
         self.dtype = np.dtype("<u2" if self.size <= 65536 else "<u4")
 
     def encode(self, data: bytes) -> np.ndarray:
@@ -61,7 +66,17 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text, specials included; broken sequences become U+FFFD."""
-        return self.fast.decode_bytes(ids.tolist()).decode("utf-8", "replace").encode()
+        ids = ids.astype(np.int64)
+        size = self.lengths[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ids) else 0
+        data = self.flat[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(total)].tobytes()
+        return data if data.isascii() else data.decode("utf-8", "replace").encode()
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        text = self.digits[ids.astype(np.int64)].ravel()
+        return text[text != 32].tobytes()[:-1]
 
 
 @cache

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bind, bytes_, flag_names, nul_string, once, remainder, sint, timestamp, uint
+from ..functions.codecs import bytes_, flag_names, nul_string, once, sint, timestamp, uint
 from ..functions.enums import codes, name_of, names
 from ..functions.layouts import Layout, records
+from .walks import address_slices, pointer_lists, resource_leaves
 
 __all__ = [
     "coff_import_symbols", "coff_sections", "directory_bytes", "opened", "pe_directories", "pe_exports", "pe_header", "pe_imports", "pe_resources",
-    "pe_sections", "read_directory", "register_directory", "rva_bytes",
+    "pe_sections", "read_directory", "register_directory", "with_slices",
 ]
 
 DOS = Layout("magic:u16 cblp:u16 cp:u16 crlc:u16 cparhdr:u16 minalloc:u16 maxalloc:u16 ss:u16 sp:u16 csum:u16 ip:u16 cs:u16 lfarlc:u16 ovno:u16 res:4*u16 oemid:u16 oeminfo:u16 res2:10*u16 lfanew:i32")
@@ -58,24 +59,10 @@ def _sections(data: Column, offset: Column, count: Column) -> Column:
     return records(data, offset, count, SECTION.size, lambda t, o, i: F.struct(i.alias("pos"), SECTION.struct(t, o).alias("v")))
 
 
-def section_at(rva: Column) -> Column:
-    """The first section whose raw data holds the address."""
-    hit = F.filter(F.col("sections"), lambda s: (rva >= s["v"]["VirtualAddress"]) & (rva < s["v"]["VirtualAddress"] + s["v"]["SizeOfRawData"]))
-    return F.get(hit, F.lit(0))["v"]
-
-
-def rva_bytes(rva: Column, size: Column | None = None) -> Column:
-    """Bytes at an address: ``size`` of them, or to the end of the section's raw data; null outside all sections."""
-
-    def cut(a: Column, s: Column) -> Column:
-        room = s["VirtualAddress"] + s["SizeOfRawData"] - a
-        return bytes_(content(), a - s["VirtualAddress"] + s["PointerToRawData"], room if size is None else F.least(size, room))
-
-    return bind(rva, lambda a: bind(section_at(a), lambda s: cut(a, s)))
-
-
-def rva_string(rva: Column) -> Column:
-    return nul_string(rva_bytes(rva), F.lit(0))
+def with_slices(rows: DataFrame, name: str, addresses: Column, lengths: Column) -> DataFrame:
+    """Adds the array of bytes at the addresses; null for one outside the raw data of all sections. The first section wins."""
+    part = lambda f: F.transform("sections", lambda s: s["v"][f])
+    return rows.withColumn(name, address_slices("content", part("VirtualAddress"), part("SizeOfRawData"), part("PointerToRawData"), addresses, lengths))
 
 
 def _section_rows(rows: DataFrame, with_data: bool) -> DataFrame:
@@ -137,47 +124,44 @@ def directory_bytes(images: DataFrame, name: str) -> DataFrame:
     """The opened images with ``base`` and ``data`` of a directory of non-zero size; the certificate table's address is a file offset."""
     at = codes("PE_DIRECTORY")[name]
     rows = opened(images).withColumn("dir", once(F.get("directories", F.lit(at)))).where("dir.Size > 0")
-    data = bytes_(content(), F.col("dir.VirtualAddress"), F.col("dir.Size")) if name == "SECURITY" else rva_bytes(F.col("dir.VirtualAddress"), F.col("dir.Size"))
-    return rows.withColumn("base", F.col("dir.VirtualAddress")).withColumn("data", once(data)).where("data is not null")
+    rows = rows.withColumns({"base": F.col("dir.VirtualAddress"), "length": F.col("dir.Size")})
+    if name == "SECURITY":
+        rows = rows.withColumn("data", once(bytes_(content(), F.col("base"), F.col("length"))))
+    else:
+        rows = with_slices(rows, "slices", F.array("base"), F.array("length")).withColumn("data", F.col("slices")[0]).drop("slices")
+    return rows.where("data is not null")
+
+
+def _words(data: Column, count: Column, size: int) -> Column:
+    return records(data, F.lit(0), count, size, lambda t, o, i: uint(t, o, size).cast("bigint"))
 
 
 def pe_exports(images: DataFrame, pair_by_position: bool = False) -> DataFrame:
-    """image_id, pos, ordinal, name, address, size, dll, data of the exports that lie in a section.
+    """image_id, dll, pos, ordinal, name, address, size, data of the exports that lie in a section.
 
     Name i belongs to function ``ordinals[i]``; with ``pair_by_position`` it is paired with function i instead and
     takes its ordinal. Size is the distance to the next greater address; the last goes to the end of its section.
     """
-    rows = directory_bytes(images, "EXPORT").withColumn("e", once(EXPORTS.struct(F.col("data"))))
-    words = lambda f, n, size: records(rva_bytes(F.col(f"e.{f}")), F.lit(0), F.col(f"e.{n}"), size, lambda t, o, i: uint(t, o, size))
-    rows = rows.withColumn("functions", words("FunctionTable", "NumberEntries", 4)).withColumn("names", words("NameTable", "NumberNames", 4)).withColumn("ordinals", words("OrdinalTable", "NumberNames", 2))
+    rows = directory_bytes(images, "EXPORT").select("image_id", "content", "sections", once(EXPORTS.struct(F.col("data"))).alias("e"))
+    none = F.lit(None).cast("bigint")
+    rows = with_slices(rows, "s", F.array("e.FunctionTable", "e.NameTable", "e.OrdinalTable", "e.DLLName"), F.array(F.col("e.NumberEntries") * 4, F.col("e.NumberNames") * 4, F.col("e.NumberNames") * 2, none))
+    rows = rows.select("image_id", "content", "sections", "e", _words(F.col("s")[0], F.col("e.NumberEntries"), 4).alias("functions"), _words(F.col("s")[1], F.col("e.NumberNames"), 4).alias("names"), _words(F.col("s")[2], F.col("e.NumberNames"), 2).alias("ordinals"), nul_string(F.col("s")[3], F.lit(0)).alias("dll"))
+    blank = lambda c: F.transform(c, lambda _: none)
+    rows = with_slices(rows, "bodies", F.col("functions"), blank("functions"))
+    rows = with_slices(rows, "texts", F.col("names"), blank("names"))
 
     def one(address: Column, i: Column) -> Column:
-        where_ = i + 1 if pair_by_position else F.array_position("ordinals", i)
-        named = where_ <= F.size("names") if pair_by_position else where_ > 0
-        ordinal = F.when(named, F.try_element_at("ordinals", where_.cast("int"))).otherwise(i) if pair_by_position else i
-        name = F.when(named, rva_string(F.try_element_at("names", where_.cast("int")))).otherwise("")
-        s = section_at(address)
-        return F.struct(i.alias("pos"), (ordinal + F.col("e.OrdinalBase")).alias("ordinal"), name.alias("name"), address.alias("address"), (s["VirtualAddress"] + s["SizeOfRawData"]).alias("end"), rva_bytes(address).alias("rest"))
-
-    table = F.filter(F.transform("functions", one), lambda x: x["end"].isNotNull())
-    rows = rows.select("image_id", rva_string(F.col("e.DLLName")).alias("dll"), F.inline(table))
+        where_ = (i + 1).cast("bigint") if pair_by_position else F.array_position("ordinals", i.cast("bigint"))
+        named = (where_ > 0) & (where_ <= F.size("texts"))
+        text = F.when(named, F.get("texts", (where_ - 1).cast("int")))
+        ordinal = F.when(named, F.get("ordinals", (where_ - 1).cast("int"))).otherwise(i) if pair_by_position else i
+        return F.struct(i.alias("pos"), (ordinal + F.col("e.OrdinalBase")).alias("ordinal"), text.alias("text"), address.alias("address"), F.get("bodies", i).alias("rest"))
+
+    table = F.filter(F.transform("functions", one), lambda x: x["rest"].isNotNull())
+    rows = rows.select("image_id", "dll", F.inline(table))
     following = F.min("address").over(Window.partitionBy("image_id").orderBy("address").rangeBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("size", F.coalesce(following, F.col("end")) - F.col("address"))
-    return rows.select("image_id", "dll", "pos", "ordinal", "name", "address", "size", F.substring("rest", F.lit(1), F.col("size").cast("int")).alias("data"))
-
-
-def _thunks(rva: Column, width: Column) -> Column:
-    """Thunk values up to the first zero, or all that are there; longer tables are only read where no zero came earlier."""
-    zero = F.lit(0).cast("decimal(20,0)")
-
-    def some(d: Column, n: int | None) -> Column:
-        count = F.floor(F.length(d) / width) if n is None else F.lit(n)
-        return records(d, F.lit(0), count, width, lambda t, o, i: F.when(width == 8, uint(t, o, 8)).otherwise(uint(t, o, 4).cast("decimal(20,0)")))
-
-    def cut(d: Column, n: int | None, longer) -> Column:
-        return bind(some(d, n), lambda x: F.when(F.array_contains(x, zero), F.slice(x, F.lit(1), (F.array_position(x, zero) - 1).cast("int"))).otherwise(longer(x)))
-
-    return bind(rva_bytes(rva), lambda d: cut(d, 64, lambda _: cut(d, 2048, lambda _: cut(d, None, lambda x: x))))
+    rows = rows.withColumn("size", F.coalesce(following - F.col("address"), F.length("rest").cast("bigint")))
+    return rows.select("image_id", "dll", "pos", "ordinal", F.coalesce(nul_string(F.col("text"), F.lit(0)), F.lit("")).alias("name"), "address", "size", F.substring("rest", F.lit(1), F.col("size").cast("int")).alias("data"))
 
 
 def pe_imports(images: DataFrame) -> DataFrame:
@@ -187,54 +171,37 @@ def pe_imports(images: DataFrame) -> DataFrame:
     read where it resolves, else the address table. An import by ordinal is named ``ordinal_N``.
     """
     rows = directory_bytes(images, "IMPORT").withColumn("width", F.when(F.col("magic") == 0x20B, 8).otherwise(4))
-    rest = F.coalesce(remainder(rva_bytes(F.col("base")), F.lit(0)), F.col("data"))
-    all_ = records(rest, F.lit(0), F.floor(F.length(rest) / IMPORTS.size), IMPORTS.size, lambda t, o, i: F.struct(i.alias("pos"), IMPORTS.struct(t, o).alias("v")))
-    few = records(rest, F.lit(0), F.lit(256), IMPORTS.size, lambda t, o, i: F.struct(i.alias("pos"), IMPORTS.struct(t, o).alias("v")))
-    stop = lambda x: F.array_min(F.transform(F.filter(x, lambda d: d["v"]["Characteristics"] == 0), lambda d: d["pos"]))
-    table = F.when(stop(few).isNotNull(), F.slice(few, F.lit(1), stop(few))).when(stop(all_).isNotNull(), F.slice(all_, F.lit(1), stop(all_))).otherwise(all_)
-    top = F.when(F.col("width") == 8, F.lit(str(1 << 63)).cast("decimal(20,0)")).otherwise(F.lit(1 << 31).cast("decimal(20,0)"))
-
-    def dll(d: Column) -> Column:
-        source = F.when(section_at(d["v"]["Characteristics"]).isNotNull(), d["v"]["Characteristics"]).otherwise(d["v"]["FirstThunk"])
-        values = _thunks(source, F.col("width"))
-        one = lambda v, i: F.struct(
-            d["pos"].alias("dll_pos"), rva_string(d["v"]["DllName"]).alias("dll"), i.alias("pos"),
-            F.when(v >= top, F.concat(F.lit("ordinal_"), (v - top).cast("decimal(20,0)").cast("string"))).otherwise(nul_string(rva_bytes(v.cast("bigint")), F.lit(2))).alias("name"),
-            F.when(v < top, uint(rva_bytes(v.cast("bigint")), 0, 2)).alias("hint"),
-            F.when(v >= top, (v - top).cast("bigint")).alias("ordinal"),
-        )
-        return F.transform(values, one)
-
-    return rows.select("image_id", F.inline(F.flatten(F.transform(table, dll))))
-
-
-def pe_resources(images: DataFrame, depth: int = 4) -> DataFrame:
+    rows = with_slices(rows, "rest", F.array("base"), F.array(F.lit(None).cast("bigint"))).withColumn("rest", F.col("rest")[0])
+    table = records(F.col("rest"), F.lit(0), F.floor(F.length("rest") / IMPORTS.size), IMPORTS.size, lambda t, o, i: F.struct(i.alias("pos"), IMPORTS.struct(t, o).alias("v")))
+    rows = rows.select("image_id", "content", "sections", "width", once(table).alias("all"))
+    stop = F.array_min(F.transform(F.filter("all", lambda d: d["v"]["Characteristics"] == 0), lambda d: d["pos"]))
+    rows = rows.withColumn("d", F.slice("all", F.lit(1), F.coalesce(stop, F.size("all"))))
+    inside = lambda a: F.exists("sections", lambda s: (a >= s["v"]["VirtualAddress"]) & (a < s["v"]["VirtualAddress"] + s["v"]["SizeOfRawData"]))
+    source = F.transform("d", lambda d: F.when(inside(d["v"]["Characteristics"]), d["v"]["Characteristics"]).otherwise(d["v"]["FirstThunk"]))
+    part = lambda f: F.transform("sections", lambda s: s["v"][f])
+    rows = rows.withColumn("thunks", pointer_lists("content", part("VirtualAddress"), part("SizeOfRawData"), part("PointerToRawData"), source, "width"))
+    rows = with_slices(rows, "dlls", F.transform("d", lambda d: d["v"]["DllName"]), F.transform("d", lambda d: F.lit(None).cast("bigint")))
+    rows = rows.select("image_id", "content", "sections", "width", F.posexplode(F.arrays_zip("thunks", "dlls")).alias("dll_pos", "x"))
+    rows = rows.select("image_id", "content", "sections", "width", "dll_pos", nul_string(F.col("x.dlls"), F.lit(0)).alias("dll"), F.col("x.thunks").alias("thunks"))
+    by_number = lambda v: F.when(F.col("width") == 8, v < 0).otherwise(v < 0)
+    rows = with_slices(rows, "texts", F.transform("thunks", lambda v: F.when(~by_number(v), v)), F.transform("thunks", lambda v: F.lit(None).cast("bigint")))
+    rows = rows.select("image_id", "dll_pos", "dll", "width", F.posexplode(F.arrays_zip("thunks", "texts")).alias("pos", "x"))
+    v = F.col("x.thunks")
+    ordinal = F.when(v < 0, F.when(F.col("width") == 8, v - F.lit(-(1 << 63))).otherwise(v + F.lit(1 << 31)))
+    return rows.select("image_id", "dll_pos", "dll", "pos", F.when(v < 0, F.concat(F.lit("ordinal_"), ordinal.cast("string"))).otherwise(nul_string(F.col("x.texts"), F.lit(2))).alias("name"), F.when(v >= 0, uint(F.col("x.texts"), 0, 2)).alias("hint"), ordinal.alias("ordinal"))
+
+
+def pe_resources(images: DataFrame, depth: int = 16) -> DataFrame:
     """image_id, path (a name or number per level), type_id, type_name, offset, size, codepage, data of the resource leaves.
 
     Directories deeper than ``depth`` levels are not followed; the format has three. Known top-level types have names.
     """
-    high, d = F.lit(1 << 31), F.col("data")
-    rows = directory_bytes(images, "RESOURCE")
-
-    def entries(at: Column, path: Column, top: Column | None, level: int) -> Column:
-        n = (uint(d, at + 12, 2) + uint(d, at + 14, 2)).cast("bigint")
-
-        def one(t: Column, o: Column, i: Column) -> Column:
-            return bind(uint(t, o, 4), lambda u0: bind(uint(t, o + 4, 4), lambda u1: entry(u0, u1)))
-
-        def entry(u0: Column, u1: Column) -> Column:
-            text_at = u0 - high
-            label = F.when(u0 >= high, F.decode(bytes_(d, text_at + 2, uint(d, text_at, 2) * 2), "UTF-16LE")).otherwise(F.coalesce(name_of(u0, "PE_RESOURCE"), u0.cast("string")) if top is None else u0.cast("string"))
-            here, kind = F.concat(path, F.array(label)), (F.when(u0 < high, u0) if top is None else top)
-            leaf = F.array(F.struct(here.alias("path"), kind.alias("type_id"), uint(d, u1, 4).alias("offset"), uint(d, u1 + 4, 4).alias("size"), uint(d, u1 + 8, 4).alias("codepage")))
-            below = entries(u1 - high, here, kind, level + 1) if level < depth else F.array().cast("array<struct<path:array<string>,type_id:bigint,offset:bigint,size:bigint,codepage:bigint>>")
-            return F.when(u1 >= high, below).otherwise(leaf)
-
-        return F.flatten(records(d, at + 16, n, 8, one))
-
-    found = entries(F.lit(0).cast("bigint"), F.array().cast("array<string>"), None, 1)
-    table = F.transform(F.filter(found, lambda x: x["size"].isNotNull()), lambda x: F.struct(x["path"].alias("path"), x["type_id"].alias("type_id"), name_of(x["type_id"], "PE_RESOURCE").alias("type_name"), x["offset"].alias("offset"), x["size"].alias("size"), x["codepage"].alias("codepage"), rva_bytes(x["offset"], x["size"]).alias("data")))
-    return rows.select("image_id", F.inline(table))
+    rows = directory_bytes(images, "RESOURCE").withColumn("leaves", resource_leaves("data", F.lit(depth)))
+    rows = with_slices(rows, "bodies", F.transform("leaves", lambda x: x["offset"]), F.transform("leaves", lambda x: x["size"]))
+    rows = rows.select("image_id", F.explode(F.arrays_zip("leaves", "bodies")).alias("x")).select("image_id", "x.leaves.*", F.col("x.bodies").alias("data"))
+    kind = name_of(F.col("type_id"), "PE_RESOURCE")
+    path = F.transform("path", lambda p, i: F.when((i == 0) & kind.isNotNull(), kind).otherwise(p))
+    return rows.select("image_id", path.alias("path"), "type_id", kind.alias("type_name"), "offset", "size", "codepage", "data")
 
 
 #: Readers of directories by name; a reader gets images and returns a DataFrame with image_id.

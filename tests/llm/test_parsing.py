@@ -44,6 +44,7 @@ def corpus(seed, length):
 def test_against_brute_force(spark, monkeypatch, length, group):
     monkeypatch.setattr(parsing, "GROUP", group)
     monkeypatch.setattr(parsing, "ORDER", 16)
+    monkeypatch.setattr(parsing, "PART", 16 if length > 100 else 5)
     docs = corpus(length, length)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, row int, packed string")
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in repeated_strings(df, length).collect())

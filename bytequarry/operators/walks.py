@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["address_slices", "chain", "member_offsets", "pointer_lists", "record_offsets", "resource_leaves"]
+__all__ = ["address_slices", "chain", "chains", "directory_order", "member_offsets", "pointer_lists", "record_offsets", "resource_leaves", "sector_table"]
 
 
 def _members(content: bytes | None) -> list[int]:
@@ -38,15 +40,47 @@ def _records(content: bytes | None, start: int | None, count: int | None, size_a
     return out
 
 
-def _chain(following: list[int] | None, start: int | None) -> list[int]:
+def _chain(following: list[int] | None, start: int | None, most: int = 1 << 62) -> list[int]:
     out, seen = [], set()
-    while following is not None and start is not None and 0 <= start < len(following) and start not in seen:
+    while len(out) < most and following is not None and start is not None and 0 <= start < len(following) and start not in seen:
         seen.add(start)
         out.append(start)
         start = following[start]
     return out
 
 
+def _chains(content: bytes, unit: int, ids: list[int], starts: list[int], sizes: list[int], low: int, high: int, piece: int) -> list[list[int]]:
+    table = b"".join(content[max(i + 1, 0) * unit : (i + 2) * unit].ljust(unit, b"\xff") for i in ids or ())
+    following = list(struct.unpack(f"<{len(table) // 4}i", table))
+    return [_chain(following, s, -(-n // piece)) if low <= n < high else [] for s, n in zip(starts or (), sizes or (), strict=True)]
+
+
+def _sector_table(content: bytes, unit: int, first: int, count: int) -> list[int]:
+    """Ids of the sectors that hold the table: 109 in the header, the rest in a chain whose sectors end in the next id."""
+    ids, seen = list(struct.unpack("<109i", content[76:512])) if len(content) >= 512 else [], set()
+    while count > 0 and first not in seen and (first + 2) * unit <= len(content):
+        seen.add(first)
+        *more, first = struct.unpack_from(f"<{unit // 4 - 1}iI", content, (first + 1) * unit)
+        ids += more
+        count -= 1
+    while ids and ids[-1] == -1:
+        ids.pop()
+    return ids
+
+
+def _directory_order(names: list[str] | None, left: list[int], right: list[int], child: list[int]) -> list[dict | None]:
+    out: list[dict | None] = [None] * len(names or ())
+    todo, visit = [(0, [])], 0
+    while todo:
+        i, parents = todo.pop()
+        if 0 <= i < len(out) and out[i] is None:
+            path = [*parents, names[i]]
+            out[i] = {"visit": visit, "path": path}
+            visit += 1
+            todo += [(child[i], path), (right[i], parents), (left[i], parents)]
+    return out
+
+
 def _place(starts: list[int], sizes: list[int], files: list[int], address: int | None) -> tuple[int, int] | None:
     """File range from an address to the end of the first section that holds it."""
     for va, size, at in zip(starts or (), sizes or (), files or (), strict=True):
@@ -119,3 +153,10 @@ member_offsets = F.udf(_members, T.ArrayType(T.LongType()), useArrow=True)
 record_offsets = F.udf(_records, T.ArrayType(T.LongType()), useArrow=True)
 #: Ids of a linked list: the follower of each id, and the first id. Ends at an id outside, or that was met before.
 chain = F.udf(_chain, T.ArrayType(T.IntegerType()), useArrow=True)
+# The next three are marked so that no projection above repeats them or moves them into a lambda, where no UDF can run.
+#: Sectors of several streams: content, sector size, ids of the table's sectors, first ids, sizes, least and limit of the sizes wanted, bytes a link stands for.
+chains = F.udf(_chains, T.ArrayType(T.ArrayType(T.IntegerType())), useArrow=True).asNondeterministic()
+#: Ids of the sectors of a compound document's sector table: content, sector size, first chained sector, number of these.
+sector_table = F.udf(_sector_table, T.ArrayType(T.IntegerType()), useArrow=True).asNondeterministic()
+#: Place in the walk (node, left, right, children) and path of each entry: names, left, right and child ids.
+directory_order = F.udf(_directory_order, T.ArrayType(T.StructType([T.StructField("visit", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))])), useArrow=True).asNondeterministic()

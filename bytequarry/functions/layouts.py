@@ -53,10 +53,10 @@ def either(wide: Column, long_: dict[str, Column], short: dict[str, Column]) ->
     return {n: F.when(wide, long_[n]).otherwise(short[n]) for n in long_}
 
 
-def records(data: Column, offset: Column, count: Column, stride, one, most: int = 10_000_000) -> Column:
+def records(data: Column, offset: Column, count: Column, stride, one) -> Column:
     """Array of ``one(bytes of the table, offset in it, position)`` for up to ``count`` records of ``stride`` bytes.
 
-    The count is bounded by the bytes that are there and by ``most`` before anything is built; a null or
+    The count is bounded by the bytes that are there before anything is built, and by nothing else; a null or
     impossible offset or count gives no records.
     """
     stride = stride if isinstance(stride, Column) else F.lit(stride)
@@ -68,6 +68,6 @@ def records(data: Column, offset: Column, count: Column, stride, one, most: int
     def count_of(d: Column, o: Column, s: Column) -> Column:
         fits = F.when((s > 0) & (o >= 0) & (o <= F.length(d)), F.floor((F.length(d) - o) / s))
         n = count.cast("bigint")
-        return F.when(n.isNotNull() & fits.isNotNull(), F.least(n, fits, F.lit(most))).otherwise(0).cast("int")
+        return F.when(n.isNotNull() & fits.isNotNull(), F.least(n, fits)).otherwise(0).cast("int")
 
     return bind(data, lambda d: bind(offset.cast("bigint"), lambda o: bind(stride, lambda s: bind(count_of(d, o, s), lambda n: build(d, o, s, n)))))

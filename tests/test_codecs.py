@@ -71,3 +71,9 @@ def test_layouts_and_records(spark):
     got = one(spark, data, r=records(d, F.lit(2), F.lit(1 << 40), layout.size, lambda t, o, i: F.struct(i.alias("pos"), layout.struct(t, o).alias("v"))), none=records(d, F.lit(99), F.lit(3), 14, lambda t, o, i: i), null=records(d, F.lit(None), F.lit(3), 14, lambda t, o, i: i))
     assert [(x.pos, x.v.a, x.v.b, x.v.c, x.v.name) for x in got.r] == [(0, 1, [2, 3], -4, "ab"), (1, 5, [6, 7], 8, "wxyz")]
     assert got.none == [] and got.null == []
+
+
+def test_records_of_a_large_table(spark):
+    n = 10_000_003
+    table = spark.createDataFrame([(b"\x07" * (2 * n - 2) + b"\x2a\x01",)], "b binary").select(records(F.col("b"), F.lit(0), F.lit(1 << 40), 2, lambda t, o, i: i).alias("r"))
+    assert tuple(table.select(F.size("r"), F.element_at("r", -1)).first()) == (n, n - 1)

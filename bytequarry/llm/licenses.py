@@ -27,43 +27,43 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: Label, keywords of which a text needs one, and the name as people write it (over lower-cased words).
 LICENSES = (
     ("mit", "mit", r"mit"),
-    ("x11", "x11", r"x11|mit x11|x consortium"),
+    ("x11", "x11 consortium", r"x11|mit x11|x consortium"),
     ("isc", "isc", r"isc"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 1 0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 1 1"),
-    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-2.0", "apache apache2", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("bsd-2-clause", "bsd freebsd", r"(?:simplified|2 clause|two clause) bsd|bsd (?:2|two) clause|freebsd"),
     ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause"),
     ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd|bsd (?:4|four) clause"),
     ("0bsd", "0bsd bsd", r"0bsd|(?:zero clause|0 clause) bsd|bsd zero clause"),
-    ("gpl-1.0", "gpl general", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?"),
+    ("gpl-1.0", "gpl general gpl1", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?"),
     ("gpl-2.0", "gpl general gplv2 gpl2", r"gplv?2|(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?"),
     ("gpl-3.0", "gpl general gplv3 gpl3", r"gplv?3|(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.0", "lgpl library", r"(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl lesser", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "lgpl lesser lgplv3", r"lgplv3|(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?"),
-    ("agpl-1.0", "agpl affero", r"(?:affero|agpl)(?: general public license)?(?: version| v)? ?1(?: 0)?"),
-    ("agpl-3.0", "agpl affero agplv3", r"agplv3|(?:gnu )?(?:affero|agpl)(?: general public license)?(?: version| v)? ?3(?: 0)?"),
-    ("gfdl-1.2", "gfdl documentation", r"(?:gnu )?(?:gfdl|free documentation license)(?: version| v)? ?1 2"),
-    ("gfdl-1.3", "gfdl documentation", r"(?:gnu )?(?:gfdl|free documentation license)(?: version| v)? ?1 3"),
-    ("mpl-1.0", "mpl mozilla", r"(?:mozilla public license|mpl)(?: version| v)? ?1 0"),
-    ("mpl-1.1", "mpl mozilla", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1"),
-    ("mpl-2.0", "mpl mozilla", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?"),
-    ("epl-1.0", "epl eclipse", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?"),
-    ("epl-2.0", "epl eclipse", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?"),
-    ("cddl-1.0", "cddl", r"(?:common development and distribution license |cddl)(?: version| v)?(?: ?1(?: 0)?)?"),
-    ("cpl-1.0", "cpl common", r"(?:common public license|cpl)(?: version| v)?(?: ?1(?: 0)?)?"),
+    ("lgpl-2.0", "lgpl library lgpl2", r"(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?"),
+    ("lgpl-2.1", "lgpl lesser lgpl2", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1"),
+    ("lgpl-3.0", "lgpl lesser lgplv3 lgpl3", r"lgplv3|(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?"),
+    ("agpl-1.0", "agpl affero agpl1 affero1", r"(?:affero|agpl)(?: general public license)?(?: version| v)? ?1(?: 0)?"),
+    ("agpl-3.0", "agpl affero agplv3 agpl3 affero3", r"agplv3|(?:gnu )?(?:affero|agpl)(?: general public license)?(?: version| v)? ?3(?: 0)?"),
+    ("gfdl-1.2", "gfdl documentation gfdl1", r"(?:gnu )?(?:gfdl|free documentation license)(?: version| v)? ?1 2"),
+    ("gfdl-1.3", "gfdl documentation gfdl1", r"(?:gnu )?(?:gfdl|free documentation license)(?: version| v)? ?1 3"),
+    ("mpl-1.0", "mpl mozilla mpl1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 0"),
+    ("mpl-1.1", "mpl mozilla mpl1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1"),
+    ("mpl-2.0", "mpl mozilla mpl2", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?"),
+    ("epl-1.0", "epl eclipse epl1", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?"),
+    ("epl-2.0", "epl eclipse epl2", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?"),
+    ("cddl-1.0", "cddl cddl1 distribution", r"(?:common development and distribution license|cddl)(?: version| v)?(?: ?1(?: 0)?)?"),
+    ("cpl-1.0", "cpl common cpl1", r"(?:common public license|cpl)(?: version| v)?(?: ?1(?: 0)?)?"),
     ("ipl-1.0", "ibm", r"ibm public license(?: version| v)?(?: ?1(?: 0)?)?"),
-    ("eupl-1.1", "eupl european", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 1"),
-    ("eupl-1.2", "eupl european", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 2"),
-    ("artistic-1.0", "artistic", r"artistic(?: license)?(?: version| v)? ?1(?: 0)?"),
-    ("artistic-2.0", "artistic", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("eupl-1.1", "eupl european eupl1", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 1"),
+    ("eupl-1.2", "eupl european eupl1", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 2"),
+    ("artistic-1.0", "artistic artistic1", r"artistic(?: license)?(?: version| v)? ?1(?: 0)?"),
+    ("artistic-2.0", "artistic artistic2", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("bsl-1.0", "boost", r"boost software(?: license)?(?: version| v)?(?: ?1(?: 0)?)?"),
-    ("busl-1.1", "busl business", r"(?:business source(?: license)?|busl)(?: version| v)?(?: ?1 1)?"),
+    ("busl-1.1", "busl business busl1", r"(?:business source(?: license)?|busl)(?: version| v)?(?: ?1 1)?"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("libpng", "libpng", r"libpng(?: version| v)?(?: ?2(?: 0)?)?"),
+    ("libpng", "libpng libpng2", r"libpng(?: version| v)?(?: ?2(?: 0)?)?"),
     ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public license"),
+    ("wtfpl", "wtfpl fuck", r"wtfpl|do what the fuck you want to public license"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc-by-1.0", "cc commons", r"(?:cc by|creative commons attribution) 1 0"),
     ("cc-by-2.0", "cc commons", r"(?:cc by|creative commons attribution) 2 0"),
@@ -78,22 +78,22 @@ LICENSES = (
     ("cc-by-nc-sa-3.0", "cc commons", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 3 0"),
     ("cc-by-nc-sa-4.0", "cc commons", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0"),
     ("cc-by-nc-nd-4.0", "cc commons", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s) 4 0"),
-    ("ofl-1.1", "ofl sil", r"(?:sil )?(?:open font license|ofl)(?: version| v)?(?: ?1 1)?"),
-    ("odbl-1.0", "odbl odc", r"(?:open database license|odbl)(?: version| v)?(?: ?1 0)?"),
-    ("pddl-1.0", "pddl odc", r"(?:public domain dedication and license|pddl)(?: version| v)?(?: ?1 0)?"),
+    ("ofl-1.1", "ofl sil ofl1 font", r"(?:sil )?(?:open font license|ofl)(?: version| v)?(?: ?1 1)?"),
+    ("odbl-1.0", "odbl odbl1 database", r"(?:open database license|odbl)(?: version| v)?(?: ?1 0)?"),
+    ("pddl-1.0", "pddl pddl1 dedication", r"(?:public domain dedication and license|pddl)(?: version| v)?(?: ?1 0)?"),
     ("ms-pl", "microsoft ms", r"(?:microsoft public license|ms pl)"),
     ("ms-rl", "microsoft ms", r"(?:microsoft reciprocal license|ms rl)"),
-    ("python-2.0", "python psf", r"(?:python software foundation license|psf license|psfl|python license)(?: version| v)?(?: ?2(?: 0)?)?"),
-    ("php-3.01", "php", r"php(?: license)?(?: version| v)?(?: ?3(?: 01)?)?"),
+    ("python-2.0", "python psf psfl psfl2", r"(?:python software foundation license|psf license|psfl|python license)(?: version| v)?(?: ?2(?: 0)?)?"),
+    ("php-3.01", "php php3", r"php(?: license)?(?: version| v)?(?: ?3(?: 01)?)?"),
     ("ruby", "ruby", r"ruby"),
     ("vim", "vim", r"vim"),
     ("postgresql", "postgresql", r"postgresql"),
     ("openssl", "openssl", r"openssl(?: ssleay)?"),
     ("ncsa", "ncsa illinois", r"(?:university of illinois )?ncsa(?: open source)?"),
-    ("afl-3.0", "afl academic", r"(?:academic free license|afl)(?: version| v)?(?: ?3(?: 0)?)?"),
-    ("osl-3.0", "osl", r"(?:open software license|osl)(?: version| v)?(?: ?3(?: 0)?)?"),
-    ("sspl-1.0", "sspl server", r"(?:server side public license|sspl)(?: version| v)?(?: ?1(?: 0)?)?"),
-    ("elastic-2.0", "elastic", r"elastic(?: license)?(?: version| v)?(?: ?2(?: 0)?)?"),
+    ("afl-3.0", "afl academic afl3", r"(?:academic free license|afl)(?: version| v)?(?: ?3(?: 0)?)?"),
+    ("osl-3.0", "osl osl3 software", r"(?:open software license|osl)(?: version| v)?(?: ?3(?: 0)?)?"),
+    ("sspl-1.0", "sspl server sspl1", r"(?:server side public license|sspl)(?: version| v)?(?: ?1(?: 0)?)?"),
+    ("elastic-2.0", "elastic elastic2", r"elastic(?: license)?(?: version| v)?(?: ?2(?: 0)?)?"),
     ("json", "json", r"json"),
     ("mulanpsl-2.0", "mulan", r"mulan(?: psl| permissive software license)(?: version| v)?(?: ?2(?: 0)?)?"),
 )
@@ -102,7 +102,7 @@ LICENSES = (
 NOTICES = (
     (90, "spdx", r"spdx license identifier (?:N)"),
     (80, "licensed released distributed published available provided covered dual", r"(?:dual )?(?:licensed|released|distributed|published|(?:made )?available|provided|covered) (?:under|by|subject to|according to) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:N)(?: licen[sc]e)?"),
-    (70, "license licence licenses", r"licen[sc]es?(?: is| type| name| url)? (?:the )?(?:N)(?: licen[sc]e)?"),
+    (70, "license licence licenses licences", r"licen[sc]es?(?: is| type| name| url)? (?:the )?(?:N)(?: licen[sc]e)?"),
     (60, "license licence", r"(?:the )?(?:N) licen[sc]e"),
 )
 
@@ -111,7 +111,7 @@ SENTENCES = (
     ("mit", 85, "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", 85, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("bsd", 84, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("apache-2.0", 85, "apache", r"you may not use this file except in compliance with the license .{0,80}apache org licenses license 2 0"),
+    ("apache-2.0", 85, "compliance", r"you may not use this file except in compliance with the license .{0,80}apache org licenses license 2 0"),
     ("gpl", 75, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", 76, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     ("agpl", 76, "redistribute affero", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
@@ -122,7 +122,7 @@ SENTENCES = (
     ("unlicense", 85, "unencumbered", r"free and unencumbered software released into the public domain"),
     ("public-domain", 55, "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
     ("zlib", 85, "warranty", r"provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("wtfpl", 85, "wtfpl", r"you just do what the fuck you want to"),
+    ("wtfpl", 85, "wtfpl fuck", r"you just do what the fuck you want to"),
     ("bsl-1.0", 85, "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("cc-by-sa", 58, "cc commons", r"cc by sa|creative commons attribution share ?alike"),
     ("cc-by-nc", 58, "cc commons", r"cc by nc|creative commons attribution non ?commercial"),

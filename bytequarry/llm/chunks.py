@@ -175,13 +175,14 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
     path = vocabulary or vocabulary_file()
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    counted = staged(docs.select("key", "text").mapInArrow(_count, "key long, ch long, c long"), "chunks")
+    counted = docs.select("key", "text").mapInArrow(_count, "key long, ch long, c long")
+    counted = staged(counted.groupBy("key", "ch").agg(F.sum("c").alias("c")), "chunks")  # rows alike share a key
     shared = counted.groupBy("ch").agg(F.sum("c").alias("c"), F.min("key").alias("owner")).where("c > 1").select("ch", "owner")
     held = staged(counted.join(shared, "ch").select("key", "ch", (F.col("key") == F.col("owner")).alias("own")), "held")
     drop_staged(counted)
     texts = docs.select("key", "doc_id", "text").mapInArrow(_pack, "key long, doc_id long, packed binary")
     owned = held.where("own").groupBy("key").agg(F.collect_list("ch").alias("own"))
-    published = texts.join(owned, "key").select("packed", "own").mapInArrow(_own(path), "ch long, ids binary")
+    published = texts.groupBy("key").agg(F.first("packed").alias("packed")).join(owned, "key").select("packed", "own").mapInArrow(_own(path), "ch long, ids binary")
     published = staged(published, "published")
     given = staged(held.select("key", "ch").join(published, "ch").groupBy("key").agg(F.collect_list(F.struct("ch", "ids")).alias("chunks")), "given")
     drop_staged(published)

@@ -52,3 +52,25 @@ def test_cuts_follow_the_content():
 
 def test_empty(spark):
     assert decode_ids(encode_texts(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_repeated_rows_publish_once(spark, monkeypatch):
+    rows, plain = {}, chunks.staged
+
+    def counted(df, label):
+        out = plain(df, label)
+        rows[label] = out.count()
+        if label == "given":
+            rows["entries"] = sum(len(r.chunks) for r in out.select("chunks").collect())
+        return out
+
+    monkeypatch.setattr(chunks, "staged", counted)
+    r = random.Random(2)
+    text = " ".join("".join(r.choice("abcdeñ") for _ in range(r.randrange(1, 9))) for _ in range(3000))
+    df = spark.createDataFrame([(None, text)] * 40 + [(7, text)] * 30, "doc_id long, text string").repartition(5)
+    got = decode_ids(encode_texts(df)).groupBy("doc_id", "ids_text").count().collect()
+    want = ",".join(map(str, Tokenizer.from_file(vocabulary_file()).encode(text, add_special_tokens=False).ids))
+    assert sorted((x.doc_id or 0, x.ids_text, x["count"]) for x in got) == [(0, want, 40), (7, want, 30)]
+    data = text.encode()
+    n = len(set(chunks.chunk_hashes(data, cuts(data)).tolist()))
+    assert n > 9 and rows == {"chunks": 2 * n, "held": 2 * n, "published": n, "given": 2, "entries": 2 * n}

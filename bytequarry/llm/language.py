@@ -13,13 +13,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import mix64, read, slices
 
-__all__ = ["identify_languages", "train_languages", "op8_language"]
+__all__ = ["has_letter", "identify_languages", "train_languages", "op8_language"]
 
 #: Documents of each language to learn from, about, and how many of all these are landmarks.
 SAMPLE, LANDMARKS = 400, 256
@@ -108,6 +110,12 @@ def _score(model, keep_text: bool):
     return run
 
 
+@F.pandas_udf(BooleanType())
+def has_letter(texts: pd.Series) -> pd.Series:
+    """Whether the text is not null and has a letter."""
+    return texts.map(lambda t: bool(t and LETTER.search(t))).astype(bool)
+
+
 def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score instead of the last column, the text, or after it.
 

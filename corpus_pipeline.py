@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import read, staged
-from bytequarry.llm.language import identify_languages, train_languages
+from bytequarry.llm.language import has_letter, identify_languages, train_languages
 from bytequarry.llm.minhash import near_duplicates
 from bytequarry.llm.packing import pack_documents
 from bytequarry.llm.phrases import repeated_passages
@@ -23,8 +23,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the corpus's languages; texts that are null or have no letter go."""
+    """Documents whose text is in one of the corpus's languages; texts that are null or have no letter go, and
+    no others, also when no language can be learnt."""
     model = train_languages(docs)
+    if not model[0]:
+        return docs.select(*COLUMNS).where(has_letter("text"))
     named = identify_languages(docs.select("doc_id", "lang", "source", "n_chars", "text"), model, keep_text=True)
     return named.where("lang_pred <> 'und'").select(*COLUMNS)
 

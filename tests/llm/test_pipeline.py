@@ -39,3 +39,12 @@ def test_stages_against_brute_force(spark, tmp_path):
             ids = want[d][p.start : p.start + p.length]
             assert p.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and p.doc_tokens == len(want[d])
         assert sum(p.length for p in own) == len(want[d])
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some text", None, "s", 9), (2, None, None, "s", 0), (3, "12 %%", None, "s", 5), (4, "é", None, None, None), (5, "", None, "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), DIR)
+    assert got.columns == list(corpus_pipeline.COLUMNS) and sorted(r.doc_id for r in got.collect()) == [1, 4]
+    labelled = spark.createDataFrame([(9, "34 !", "en", "s", 4), *rows], schema)  # the only label stands at a text without a letter
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, labelled, DIR).collect()) == [1, 4]

@@ -2,7 +2,8 @@
 
 1. A rolling hash cuts every text into chunks, at places that depend on the text near them only; chunk hashes
 are counted over the corpus. 2. A chunk that stands twice or more is owned by one document, which encodes it
-and publishes its ids; all documents that hold it take them by join and encode only the rest. 3. Where chunks meet, ids
+and publishes its ids; all documents that hold it take them by join and encode only the rest. A hash
+only names candidates: ids are reused where the bytes they stand for are the chunk's. 3. Where chunks meet, ids
 are repaired: the text between the next sure pre-token borders on both sides of the joint is encoded anew,
 and the stretch grows until its ends agree with token borders of the chunks' ids. A sure border is an ASCII
 space after a visible ASCII character, since no pre-token and no special token spans it.
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ def cuts(data: bytes, gram: int = 0, spread: int = 0) -> np.ndarray:
 
 
 def chunk_hashes(data: bytes, borders: np.ndarray) -> np.ndarray:
-    return RunHashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)).of(borders[:-1], borders[1:]).astype(np.int64)
+    """A hash of each chunk's bytes. It only finds candidates: ids are reused after a comparison of the bytes."""
+    at = borders.tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, max(0, len(at) - 1)).view(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +121,11 @@ def join_ids(enc: Encoder, data: bytes, borders: list[int], ids: list[np.ndarray
     return np.concatenate([*out, all_ids[at:]])
 
 
-def _segments(hashes: list[int], borders: list[int], shared: dict[int, bool]) -> list[tuple[int, int, int | None]]:
+def _segments(hashes: list[int], borders: list[int], shared: list[bool]) -> list[tuple[int, int, int | None]]:
     """(start, end, hash of a shared chunk or None) with the other chunks put together."""
     out: list[tuple[int, int, int | None]] = []
-    for h, lo, hi in zip(hashes, borders[:-1], borders[1:], strict=True):
-        if h in shared:
+    for h, lo, hi, same in zip(hashes, borders[:-1], borders[1:], shared, strict=True):
+        if same:
             out.append((lo, hi, h))
         elif out and out[-1][2] is None:
             out[-1] = (out[-1][0], hi, None)
@@ -130,6 +134,20 @@ def _segments(hashes: list[int], borders: list[int], shared: dict[int, bool]) ->
     return out
 
 
+def confirmed(enc: Encoder, data: bytes, borders: np.ndarray, hashes: list[int], given: dict[int, np.ndarray]) -> list[bool]:
+    """Of each chunk whether ids are given for it that stand for exactly its bytes."""
+    ask = [k for k, h in enumerate(hashes) if h in given]
+    out = [False] * len(hashes)
+    if ask:
+        sizes = [int(enc.lengths[given[hashes[k]]].sum()) for k in ask]
+        told = enc.raw(np.concatenate([given[hashes[k]] for k in ask])).tobytes()
+        at = 0
+        for k, size in zip(ask, sizes, strict=True):
+            out[k] = told[at : at + size] == data[borders[k] : borders[k + 1]]
+            at += size
+    return out
+
+
 def _own(path: str):
     """Rows (ch, ids) for the chunks that a text owns."""
 
@@ -156,10 +174,11 @@ def _fill(path: str):
         for b in slices(batches):
             out = []
             for packed, chunks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data, given = unpack_text(packed), {x["ch"]: x["ids"] for x in chunks or ()}
+                data, given = unpack_text(packed), {x["ch"]: np.frombuffer(x["ids"], enc.dtype).astype(np.uint32) for x in chunks or ()}
                 borders = cuts(data)
-                parts = _segments(chunk_hashes(data, borders).tolist(), borders.tolist(), given)
-                ids = [enc.encode(data[s:e]) if h is None else np.frombuffer(given[h], enc.dtype).astype(np.uint32) for s, e, h in parts]
+                hashes = chunk_hashes(data, borders).tolist()
+                parts = _segments(hashes, borders.tolist(), confirmed(enc, data, borders, hashes, given))
+                ids = [enc.encode(data[s:e]) if h is None else given[h] for s, e, h in parts]
                 out.append(join_ids(enc, data, [0, *(e for _, e, _ in parts)], ids).astype(enc.dtype).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 

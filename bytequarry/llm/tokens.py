@@ -64,13 +64,16 @@ class Encoder:
             return np.array(self.exact.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(data.decode("utf-8"), disallowed_special=())
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of the decoded text, specials included; broken sequences become U+FFFD."""
+    def raw(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for, one after the other."""
         ids = ids.astype(np.int64)
         size = self.lengths[ids]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ids) else 0
-        data = self.flat[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(total)].tobytes()
+        return self.flat[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ids) else 0)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the decoded text, specials included; broken sequences become U+FFFD."""
+        data = self.raw(ids).tobytes()
         return data if data.isascii() else data.decode("utf-8", "replace").encode()
 
     def decimals(self, ids: np.ndarray) -> bytes:

@@ -74,3 +74,25 @@ def test_repeated_rows_publish_once(spark, monkeypatch):
     data = text.encode()
     n = len(set(chunks.chunk_hashes(data, cuts(data)).tolist()))
     assert n > 9 and rows == {"chunks": 2 * n, "held": 2 * n, "published": n, "given": 2, "entries": 2 * n}
+
+
+def thue_morse(size, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(size))
+
+
+def test_texts_that_collide_under_polynomials(spark):
+    """A polynomial hash modulo a power of two is equal on these two texts for every odd base."""
+    tok = Tokenizer.from_file(vocabulary_file())
+    texts = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.ids_text, r.decoded) for r in decode_ids(encode_texts(df)).collect()}
+    assert got == {i: (",".join(map(str, tok.encode(t, add_special_tokens=False).ids)), t) for i, t in enumerate(texts)}
+
+
+def test_ids_of_other_bytes_are_not_reused(spark, monkeypatch):
+    """With all chunks under one hash every reuse but that of equal bytes is refused."""
+    monkeypatch.setattr(chunks, "chunk_hashes", lambda data, borders: np.zeros(max(0, len(borders) - 1), np.int64))
+    enc = encoder(vocabulary_file())
+    data, given = b"one two three", {0: enc.encode(b"one two")}
+    assert chunks.confirmed(enc, data, np.array([0, 7, 13]), [0, 0], given) == [True, False]
+    assert chunks.confirmed(enc, data, np.array([0, 3, 13]), [0, 5], given) == [False, False]

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,25 +169,56 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
+def gaps_of(line: bytes | str) -> np.ndarray:
+    """Places of the single spaces of a line, so that a place's word number is a search and not a count."""
+    data = line if isinstance(line, bytes) else line.encode("utf-32-le", "surrogatepass")
+    return np.flatnonzero(np.frombuffer(data, np.uint8 if isinstance(line, bytes) else "<u4") == 32)
+
+
 def base_places(line: bytes) -> list[tuple[int, int, str]]:
     """(first word, words, label) of each base phrase in words joined and surrounded by single spaces."""
-    out = []
+    out, gaps = [], gaps_of(line)
     for phrase, label in BASE:
-        needle, at = b" " + phrase.encode() + b" ", -1
+        needle, at, found = b" " + phrase.encode() + b" ", -1, []
         while (at := line.find(needle, at + 1)) >= 0:
-            out.append((line.count(b" ", 0, at), phrase.count(" ") + 1, label))
+            found.append(at)
+        out += [(first, phrase.count(" ") + 1, label) for first in np.searchsorted(gaps, found).tolist()]
     return out
 
 
+class Cover:
+    """Intervals that no other one contains, sorted; starts and ends both ascend."""
+
+    def __init__(self):
+        self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def contains(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.starts, starts, side="right") - 1
+        return (i >= 0) & (self.ends[i] >= ends) if len(self.starts) else np.zeros(len(starts), bool)
+
+    def add(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        starts, ends = np.concatenate([self.starts, starts]), np.concatenate([self.ends, ends])
+        order = np.lexsort((-ends, starts))
+        starts, ends = starts[order], ends[order]
+        before = np.concatenate([[-1], np.maximum.accumulate(ends)[:-1]])
+        self.starts, self.ends = starts[ends > before], ends[ends > before]
+
+
 def detections(line: str, words: set[str], rules: tuple[Rule, ...]) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, priority) in characters of the joined words, without suppressed ones."""
+    """(start, end, label, priority) in characters of the joined words, without those that an earlier detection contains.
+
+    The places of one rule never overlap, so they are held against those of the earlier rules together.
+    """
     kept: list[tuple[int, int, str, int]] = []
+    cover = Cover()
     for r in rules:
         if words.isdisjoint(r.keywords) or r.needs and words.isdisjoint(r.needs):
             continue
-        for m in r.pattern.finditer(line):
-            if not any(s <= m.start() and m.end() <= e for s, e, _, _ in kept):
-                kept.append((m.start(), m.end(), r.label, r.priority))
+        found = np.array([m.span() for m in r.pattern.finditer(line)], np.int64).reshape(-1, 2)
+        found = found[~cover.contains(found[:, 0], found[:, 1])]
+        if len(found):
+            cover.add(found[:, 0], found[:, 1])
+            kept += [(s, e, r.label, r.priority) for s, e in found.tolist()]
     return kept
 
 
@@ -207,7 +239,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 joined = b" ".join(words)
                 places = base_places(b" " + joined + b" ")
                 line = joined.decode("utf-8", "replace")
-                found = [(line.count(" ", 0, s), line.count(" ", s, e) + 1, label, p) for s, e, label, p in detections(line, set(line.split(" ")), rules)]
+                spans = detections(line, set(line.split(" ")), rules)
+                if spans:
+                    gaps = gaps_of(line)
+                    first, last = (np.searchsorted(gaps, [x[i] for x in spans]).tolist() for i in (0, 1))
+                    found = [(f, e - f + 1, label, p) for f, e, (_, _, label, p) in zip(first, last, spans, strict=True)]
             starts = [p[0] for p in places]
             base = {p[2] for p in places}
             for o, v in zip(out, (len(words), len(places), min(starts, default=None), max(starts, default=None), sorted(base), sorted(base | {d[2] for d in found}), [dict(zip(("first", "words", "label", "priority"), d, strict=True)) for d in sorted(found)]), strict=True):
@@ -221,7 +257,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     detections are (first word, words, label, priority) of what no earlier detection contains; labels are those
     and the base phrases', distinct and sorted. Null and empty texts have no words and no labels. Repeated rows
-    and rows without doc_id each return a row. Other columns are not read.
+    and rows without doc_id each return a row. Of rules with one priority the first of the list wins a tie. Very long
+    texts are scanned whole, in time near to linear in their length. Other columns are not read.
     """
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, detections array<struct<first:long,words:long,label:string,priority:int>>"
     return docs.select("doc_id", "text").mapInArrow(_scan, kinds)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "minima", "runs", "slices"]
+__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "digests", "minima", "runs", "slices"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -31,12 +31,14 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only where the session names none (tests)."""
+    """The folder for intermediate tables. Where the session names none, a local session gets a temporary one; a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext.getCheckpointDir()
         folder = found.rsplit("/", 1)[0] if found else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -64,9 +66,14 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions for a shuffle whose tasks are heavy on CPU although their rows are small."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Bytes of text for a task that computes on it, about.
+TASK_BYTES = 64 << 20
+
+
+def width(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for a shuffle whose tasks are heavy on CPU although their rows are small; more where ``size`` bytes
+    of text ask for it, so that a task's share does not grow with the data."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // TASK_BYTES))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,8 +106,18 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(s)
 
 
+def digests(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a non-linear 128-bit hash of each piece: among 1e14 pieces two that differ agree with a chance below 1e-10."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<i8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class RunHashes:
-    """Hashes of any run of a sequence of unsigned 64-bit numbers in constant time each (prefix sums modulo 2**64)."""
+    """Hashes of any run of a sequence of unsigned 64-bit numbers in constant time each (prefix sums modulo 2**64).
+
+    They choose places (anchors, triggers, cuts), for which equal runs must agree; different runs may collide, so
+    no equality is ever concluded from them.
+    """
 
     BASE = 0xD6E8FEB86659FD93
     powers = np.ones(1, np.uint64)

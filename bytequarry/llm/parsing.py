@@ -43,17 +43,20 @@ def sizes(length: int) -> tuple[int, int]:
     return gram, max(1, min(SPREAD, length - gram + 1, length * 2 // 3))
 
 
+#: Low bits of a hash that give way to its position.
+PLACE = np.uint64((1 << 32) - 1)
+
+
 def triggers(hashes: np.ndarray, spread: int) -> np.ndarray:
-    """For each run of ``spread`` positions the place of the smallest hash, the first of equal ones."""
-    n, bits = len(hashes), np.uint64(max(16, len(hashes).bit_length()))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
+    """For each run of ``spread`` positions the place of the smallest hash by its high 32 bits, the first of equal ones."""
+    n = len(hashes)
     pad = -n % spread
     key = np.full(n + pad, np.iinfo(np.uint64).max, np.uint64)
-    key[:n] = (hashes & ~mask) | np.arange(n, dtype=np.uint64)
+    key[:n] = (hashes & ~PLACE) | np.arange(n, dtype=np.uint64)
     table = key.reshape(-1, spread)
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(behind[: n - spread + 1], ahead[spread - 1 : n]) & mask).astype(np.int64)
+    return (np.minimum(behind[: n - spread + 1], ahead[spread - 1 : n]) & PLACE).astype(np.int64)
 
 
 def _hashes(data: bytes) -> RunHashes:

@@ -1,12 +1,14 @@
 """Operator 9: substring dedup with sharded automata of repeated phrases.
 
-Of each window of words the phrase (a few words) with the smallest hash is its anchor, so equal windows
-have equal anchors at equal places. 1. Anchors are counted over the corpus; those seen twice or more recur.
-2. Documents are dealt to shards of bounded size together with the recurring anchors that they hold; each
-shard compiles its phrases into an Aho-Corasick automaton and streams its documents through it, which
-locates every occurrence. The windows of one anchor stand side by side: a block. 3. A block that also stands
-earlier is repeated as a whole. 4. Only of the first occurrence of blocks whose anchor has several different
-blocks are single windows compared.
+Of each window of words the phrase (a few words) with the smallest hash is its anchor, so equal windows have equal
+anchors at equal places. 1. Anchors are counted over the corpus by their words; those that stand twice or more are
+the confirmed phrases. 2. Documents are dealt to shards of bounded size. A shard gets the confirmed phrases that its
+documents may hold, compiles them into one Aho-Corasick automaton and streams its documents through it. The hits
+are all that is known of a document from then on: of each window the located phrase with the smallest hash is the
+anchor, windows without a hit repeat nothing, and the windows of one anchor stand side by side: a block. (A
+phrase is located in every document where it is an anchor; where it is not, a smaller one is, so the hits of
+two shards agree on equal windows.) 3. A block that also stands earlier is repeated as a whole. 4. Only of the first
+occurrence of blocks whose anchor has several different blocks are single windows compared.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHashes, drop_staged, minima, pack_text, read, runs, slices, staged, unpack_text, width, word_hashes
+from .common import RunHashes, digests, drop_staged, pack_text, read, runs, slices, staged, unpack_text, width, word_hashes
+from .parsing import triggers
 
 __all__ = ["repeated_passages", "op9_phrases"]
 
@@ -28,91 +31,102 @@ __all__ = ["repeated_passages", "op9_phrases"]
 PHRASE = 6
 #: Bytes of text of one shard, about.
 SHARD_BYTES = 2_000_000
+#: Order of a document without id: after all others.
+LAST = (1 << 63) - 1
 
-BLOCKS = pa.list_(pa.struct([("bh", pa.int64()), ("ah", pa.int64()), ("s", pa.int32()), ("n", pa.int32())]))
+PARSED = "row long, doc_id long, carry string, packed binary, size long, anchors array<struct<hash:long,phrase:binary,c:int>>"
+ANCHORS = pa.list_(pa.struct([("hash", pa.int64()), ("phrase", pa.binary()), ("c", pa.int32())]))
+LOCATED = "row long, doc_id long, carry string, packed binary, blocks array<struct<b1:long,b2:long,ah:long,s:int,n:int>>"
+BLOCKS = pa.list_(pa.struct([("b1", pa.int64()), ("b2", pa.int64()), ("ah", pa.int64()), ("s", pa.int32()), ("n", pa.int32())]))
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each block in a document of at least one window: anchor's hash, anchor's place, first window, windows."""
-    hashes, at = RunHashes(h), np.arange(len(h) - phrase + 1)
-    grams = hashes.of(at, at + phrase)
-    chosen = minima(grams, window - phrase + 1)
-    start, end = runs(chosen)
-    return grams[chosen[start]], chosen[start], start, end - start
+def lists(kind: pa.ListType, sizes: list[int], columns: list[list | np.ndarray]) -> pa.Array:
+    """A list column of structs from the fields of all entries, one after the other."""
+    fields = list(kind.value_type)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    values = [pa.array(np.concatenate(c) if len(c) else [], f.type) if not pa.types.is_binary(f.type) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, fields=fields), type=kind)
 
 
-def _count(window: int, phrase: int):
-    """Rows (hash, shard, c): how often the anchor stands in a document."""
+def joined_words(data: bytes) -> tuple[bytes, np.ndarray, list[bytes]]:
+    """The words with one space before, between and after them, the places of these spaces, and the words."""
+    words = data.split()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return b" " + b" ".join(words) + b" ", np.concatenate([[0], np.cumsum(sizes + 1)]), words
+
+
+def _parse(window: int, phrase: int):
+    """A row for each document: its packed text and its anchors, each with its words and how often it stands here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for b in slices(batches):
-            found, counts, shards = [], [], []
-            for shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split() if text else []
-                if len(words) >= window:
-                    u, c = np.unique(_anchors(word_hashes(words), window, phrase)[0], return_counts=True)
-                    found.append(u.astype(np.int64))
-                    counts.append(c)
-                    shards.append(np.full(len(u), shard, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, shards, counts)], ["hash", "shard", "c"])
+            packed, size, counts, hashes, texts, times = [], [], [], [], [], []
+            for text in b.column(2).to_pylist():
+                data = (text or "").encode("utf-8", "surrogatepass")
+                packed.append(pack_text(text))
+                size.append(len(data))
+                line, gaps, words = joined_words(data)
+                if len(words) < window:
+                    counts.append(0)
+                    continue
+                at = np.arange(len(words) - phrase + 1)
+                grams = RunHashes(word_hashes(words)).of(at, at + phrase) >> np.uint64(1)
+                chosen = triggers(grams, window - phrase + 1)
+                first, _ = runs(chosen)
+                u, i, c = np.unique(grams[chosen[first]], return_index=True, return_counts=True)
+                q = chosen[first][i]
+                counts.append(len(u))
+                hashes.append(u.astype(np.int64))
+                times.append(c)
+                texts += [line[x:y] for x, y in zip((gaps[q] + 1).tolist(), gaps[q + phrase].tolist(), strict=True)]
+            at = np.arange(number, number + b.num_rows, dtype=np.int64)
+            number += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(size, pa.int64()), lists(ANCHORS, counts, [hashes, texts, times])], ["row", "doc_id", "carry", "packed", "size", "anchors"])
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        n = b.num_rows
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), b.column(1), b.column(2), pa.array([pack_text(t) for t in b.column(3).to_pylist()], pa.binary())], ["shard", "kind", "hash", "doc_id", "carry", "packed"])
+def locate(automaton: ahocorasick.Automaton, hashes: np.ndarray, data: bytes, window: int, phrase: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """(anchor, first window, windows) of the blocks that the automaton's hits make of a text, and their words."""
+    line, gaps, _ = joined_words(data)
+    n = len(gaps) - 1
+    hits = np.array(list(automaton.iter(line.decode("latin-1"))) if n >= window else [], np.int64).reshape(-1, 2)
+    if not len(hits):
+        return [np.zeros(0, np.int64)] * 3, []
+    value = np.full(n - phrase + 1, np.iinfo(np.uint64).max, np.uint64)
+    value[np.searchsorted(gaps, hits[:, 0]) - phrase] = hashes[hits[:, 1]]
+    chosen = triggers(value, window - phrase + 1)
+    s, e = runs(chosen)
+    found = value[chosen[s]] < 1 << 63
+    s, e, chosen = s[found], e[found], chosen[s[found]]
+    pieces = [line[x:y] for x, y in zip((gaps[s] + 1).tolist(), gaps[e + window - 1].tolist(), strict=True)]
+    return [value[chosen].astype(np.int64), s, e - s], pieces
 
 
 def _locate(window: int, phrase: int):
-    """Rows sorted by shard, recurring anchors first -> a row for each document with its located blocks."""
-
-    def shard(known: np.ndarray, docs: list[tuple[int, str, bytes]], number: int) -> pa.RecordBatch:
-        words = [unpack_text(p).split() for *_, p in docs]
-        placed, automaton, seen = [], ahocorasick.Automaton(), set()
-        for w in words:
-            if len(w) < window:
-                placed.append(None)
-                continue
-            h = word_hashes(w)
-            a, q, s, n = _anchors(h, window, phrase)
-            i = np.minimum(np.searchsorted(known, a), max(0, len(known) - 1))
-            recurs = known[i] == a if len(known) else np.zeros(len(a), bool)
-            placed.append((h, a, q, s, n, recurs))
-            for x in np.flatnonzero(recurs):
-                if (v := int(a[x])) not in seen:
-                    seen.add(v)
-                    automaton.add_word((b" " + b" ".join(w[q[x] : q[x] + phrase]) + b" ").decode("latin-1"), v)
-        automaton.make_automaton()
-        rows = []
-        for w, p in zip(words, placed, strict=True):
-            found = []
-            if p is not None and seen:
-                h, a, q, s, n, _ = p
-                line = b" " + b" ".join(w) + b" "
-                ends = np.fromiter((e for e, _ in automaton.iter(line.decode("latin-1"))), np.int64)
-                if len(ends):
-                    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                    here = np.zeros(len(w) + 1, bool)
-                    here[np.searchsorted(gaps, ends) - phrase] = True
-                    keep = here[q]
-                    a, s, n = a[keep], s[keep], n[keep]
-                    bh = RunHashes(h).of(s, s + n + window - 1)
-                    found = [{"bh": x, "ah": y, "s": z, "n": c} for x, y, z, c in zip(bh.astype(np.int64).tolist(), a.astype(np.int64).tolist(), s.tolist(), n.tolist(), strict=True)]
-            rows.append(found)
-        at = np.arange(number, number + len(docs), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array([d for d, *_ in docs], pa.int64()), pa.array([c for _, c, _ in docs], pa.string()), pa.array([p for *_, p in docs], pa.binary()), pa.array(rows, BLOCKS)], ["row", "doc_id", "carry", "packed", "blocks"])
+    """Rows sorted by shard, its phrases first -> a row for each document with its located blocks."""
+
+    def shard(phrases: dict[bytes, int], docs: list[tuple[int, int, str, bytes]]) -> pa.RecordBatch:
+        automaton = ahocorasick.Automaton()
+        for k, text in enumerate(phrases):
+            automaton.add_word(f" {text.decode('latin-1')} ", k)
+        if phrases:
+            automaton.make_automaton()
+        hashes = np.fromiter(phrases.values(), np.uint64, len(phrases))
+        counts, parts, halves = [], [[], [], []], [[], []]
+        for *_, packed in docs:
+            fields, pieces = locate(automaton, hashes, unpack_text(packed), window, phrase) if phrases else ([np.zeros(0, np.int64)] * 3, [])
+            counts.append(len(pieces))
+            for o, v in zip((*halves, *parts), (*digests(pieces), *fields), strict=True):
+                o.append(v)
+        cols = list(zip(*docs, strict=True))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists(BLOCKS, counts, [*halves, *parts])], ["row", "doc_id", "carry", "packed", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, now, hashes, docs = TaskContext.get().partitionId() << 33, None, [], []
-
-        def flush() -> pa.RecordBatch:
-            known = np.unique(np.concatenate(hashes).astype(np.uint64)) if hashes else np.zeros(0, np.uint64)
-            return shard(known, docs, number)
-
+        now, phrases, docs = None, {}, []
         for b in slices(batches):
             if not b.num_rows:
                 continue
@@ -120,32 +134,33 @@ def _locate(window: int, phrase: int):
             for lo, hi in zip(*runs(shards * 2 + kinds), strict=True):
                 if shards[lo] != now:
                     if docs:
-                        yield flush()
-                        number += len(docs)
-                    now, hashes, docs = shards[lo], [], []
+                        yield shard(phrases, docs)
+                    now, phrases, docs = shards[lo], {}, []
+                part = [b.column(i).slice(lo, hi - lo).to_pylist() for i in range(2, 7)]
                 if kinds[lo] == 0:
-                    hashes.append(b.column(2).slice(lo, hi - lo).to_numpy())
+                    phrases.update(zip(part[4], part[0], strict=True))
                 else:
-                    docs += zip(*(b.column(i).slice(lo, hi - lo).to_pylist() for i in (3, 4, 5)), strict=True)
+                    docs += zip(*part[1:], strict=True)
         if docs:
-            yield flush()
+            yield shard(phrases, docs)
 
     return run
 
 
 def _windows(window: int):
-    """Rows (h, doc_id, row, s) for each window of the blocks."""
+    """Rows (h1, h2, doc_id, row, s) for each window of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = [[], [], [], []]
+            out = [[] for _ in range(5)]
             for row, doc_id, packed, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = np.unique(np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in blocks]))
-                h = RunHashes(word_hashes(unpack_text(packed).split())).of(at, at + window)
-                for o, v in zip(out, (h.astype(np.int64), np.full(len(at), doc_id), np.full(len(at), row), at), strict=True):
+                line, gaps, _ = joined_words(unpack_text(packed))
+                h = digests(line[x:y] for x, y in zip((gaps[at] + 1).tolist(), gaps[at + window].tolist(), strict=True))
+                for o, v in zip(out, (*h, np.full(len(at), doc_id), np.full(len(at), row), at), strict=True):
                     o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["h", "doc_id", "row", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["h1", "h2", "doc_id", "row", "s"])
 
     return run
 
@@ -201,35 +216,41 @@ def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...]
 
     Removed are the words of every run of ``window`` words that also starts earlier: in a smaller doc_id, or
     before in the same document. Null texts have no words; a text under ``window`` words keeps all. Of rows
-    that share a doc_id one counts as earlier, so of repeated rows one is kept. Rows without doc_id are left
-    out. Other columns are not read, but for those in ``carry``, which are given back beside doc_id.
+    that share a doc_id one counts as earlier, so of repeated rows one is kept. Rows without doc_id are documents
+    of their own and come after all others, in one order. Very long texts are read whole; the task that
+    holds one needs memory in proportion to it. Other columns are not read, but for those in ``carry``, which are given
+    back beside doc_id and must not have the names of the result.
     """
     spark, phrase = docs.sparkSession, max(1, min(PHRASE, window))
     carried = docs.select(*carry).schema
     extra = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
-    docs = docs.select("doc_id", extra.alias("carry"), "text").where("doc_id is not null")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parsed = staged(docs.select("doc_id", extra.alias("carry"), "text").mapInArrow(_parse(window, phrase), PARSED), "parsed")
+    size = parsed.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    anchors = staged(docs.select("shard", "text").mapInArrow(_count(window, phrase), "hash long, shard long, c long"), "anchors")
-    recurring = anchors.groupBy("hash").agg(F.sum("c").alias("c")).where("c > 1").select("hash")
-    phrases = staged(anchors.join(recurring, "hash").select("shard", F.lit(0).cast("tinyint").alias("kind"), "hash", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("carry"), F.lit(None).cast("binary").alias("packed")), "phrases")
-    drop_staged(anchors)
-    texts = docs.select("shard", "doc_id", "carry", "text").mapInArrow(_pack, "shard long, kind tinyint, hash long, doc_id long, carry string, packed binary")
-    dealt = phrases.union(texts).repartition(width(spark), "shard").sortWithinPartitions("shard", "kind")
-    located = staged(dealt.mapInArrow(_locate(window, phrase), "row long, doc_id long, carry string, packed binary, blocks array<struct<bh:long,ah:long,s:int,n:int>>"), "located")
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
+    anchors = parsed.select(shard, F.inline("anchors"))
+    confirmed = anchors.groupBy("hash", "phrase").agg(F.sum("c").alias("c")).where("c > 1").select("hash", "phrase")
+    none = F.lit(None)
+    phrases = anchors.select("shard", "hash").join(confirmed, "hash").select("shard", F.lit(0).cast("tinyint").alias("kind"), "hash", none.cast("long").alias("row"), none.cast("long").alias("doc_id"), none.cast("string").alias("carry"), F.col("phrase").alias("packed"))
+    phrases = staged(phrases, "phrases")
+    texts = parsed.select(shard, F.lit(1).cast("tinyint").alias("kind"), none.cast("long").alias("hash"), "row", "doc_id", "carry", "packed")
+    dealt = phrases.union(texts).repartition(width(spark, size), "shard").sortWithinPartitions("shard", "kind")
+    located = staged(dealt.mapInArrow(_locate(window, phrase), LOCATED), "located")
     drop_staged(phrases)
+    drop_staged(parsed)
 
-    found = located.where(F.size("blocks") > 0).select("doc_id", "row", F.inline("blocks"))
+    found = located.where(F.size("blocks") > 0).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row", F.inline("blocks"))
     place = F.struct("doc_id", "row", "s")
-    first = staged(found.groupBy("bh").agg(F.min(place).alias("first"), F.min("ah").alias("ah"), F.min("n").alias("n")), "first")
+    first = staged(found.groupBy("b1", "b2").agg(F.min(place).alias("first"), F.min("ah").alias("ah"), F.min("n").alias("n")), "first")
     mixed = first.groupBy("ah").agg(F.count("*").alias("c")).where("c > 1").select("ah")
-    whole = found.join(first.select("bh", "first"), "bh").where(place != F.col("first")).select("row", "s", "n")
+    whole = found.join(first.select("b1", "b2", "first"), ["b1", "b2"]).where(place != F.col("first")).select("row", "s", "n")
     open_blocks = first.join(mixed, "ah").groupBy("first.row").agg(F.collect_list(F.struct(F.col("first.s").alias("s"), "n")).alias("blocks"))
-    single = staged(located.select("row", "doc_id", "packed").join(open_blocks, "row").select("row", "doc_id", "packed", "blocks").mapInArrow(_windows(window), "h long, doc_id long, row long, s long"), "windows")
-    earliest = single.groupBy("h").agg(F.min(place).alias("first"))
-    later = single.join(earliest, "h").where(place != F.col("first")).select("row", F.col("s").cast("int"), F.lit(1).alias("n"))
+    single = located.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "packed").join(open_blocks, "row").select("row", "doc_id", "packed", "blocks")
+    single = staged(single.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, row long, s long"), "windows")
+    earliest = single.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    later = single.join(earliest, ["h1", "h2"]).where(place != F.col("first")).select("row", F.col("s").cast("int"), F.lit(1).alias("n"))
     cut = staged(whole.union(later).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "cut")
+    drop_staged(single)
     out = located.select("row", "doc_id", "carry", "packed").join(cut, "row", "left").select("doc_id", "carry", "packed", "ranges")
     out = out.mapInArrow(_cut(window), "doc_id long, carry string, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string")
     back = F.from_json("carry", carried)

@@ -58,5 +58,5 @@ def test_empty(spark):
 
 def test_triggers_are_first_minima():
     h = np.random.default_rng(3).integers(0, 2**63, 500, dtype=np.uint64) << np.uint64(40)
-    want = [i + int(np.argmin((h[i : i + 37] >> np.uint64(16)))) for i in range(500 - 37 + 1)]
+    want = [i + int(np.argmin((h[i : i + 37] >> np.uint64(32)))) for i in range(500 - 37 + 1)]
     assert triggers(h, 37).tolist() == want

@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "digests", "minima", "runs", "slices"]
+__all__ = ["read", "shared_folder", "staged", "drop_staged", "lower_words", "word_hashes", "shingle_set", "mix64", "pack_text", "unpack_text", "width", "RunHashes", "digests", "lists", "minima", "runs", "slices"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -112,6 +112,14 @@ def digests(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
+def lists(kind: pa.ListType, sizes: list[int], columns: list[list | np.ndarray]) -> pa.Array:
+    """A list column of structs from the fields of all entries, one after the other."""
+    fields = list(kind.value_type)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    values = [pa.array(np.concatenate(c) if len(c) else [], f.type) if not pa.types.is_binary(f.type) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, fields=fields), type=kind)
+
+
 class RunHashes:
     """Hashes of any run of a sequence of unsigned 64-bit numbers in constant time each (prefix sums modulo 2**64).
 

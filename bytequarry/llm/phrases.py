@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHashes, digests, drop_staged, pack_text, read, runs, slices, staged, unpack_text, width, word_hashes
+from .common import RunHashes, digests, drop_staged, lists, pack_text, read, runs, slices, staged, unpack_text, width, word_hashes
 from .parsing import triggers
 
 __all__ = ["repeated_passages", "op9_phrases"]
@@ -41,14 +41,6 @@ BLOCKS = pa.list_(pa.struct([("b1", pa.int64()), ("b2", pa.int64()), ("ah", pa.i
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def lists(kind: pa.ListType, sizes: list[int], columns: list[list | np.ndarray]) -> pa.Array:
-    """A list column of structs from the fields of all entries, one after the other."""
-    fields = list(kind.value_type)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    values = [pa.array(np.concatenate(c) if len(c) else [], f.type) if not pa.types.is_binary(f.type) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, fields=fields), type=kind)
-
-
 def joined_words(data: bytes) -> tuple[bytes, np.ndarray, list[bytes]]:
     """The words with one space before, between and after them, the places of these spaces, and the words."""
     words = data.split()

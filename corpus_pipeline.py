@@ -18,27 +18,28 @@ from bytequarry.llm.phrases import repeated_passages
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least score of a text that a language's classifier claims, and letters from which the score counts.
+CLAIM, LETTERS = 0.5, 40
 #: SQL expresses neither the language model nor the packing.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the corpus's languages; texts that are null or have no letter go, and
-    no others, also when no language can be learnt."""
+    """Documents in one of the corpus's languages. Rejected are texts that are null or have no letter, and texts of
+    ``LETTERS`` letters or more that no language's classifier claims (score under ``CLAIM``); shorter ones say too
+    little against any language. When no language can be learnt, all texts with a letter stay."""
     model = train_languages(docs)
     if not model[0]:
         return docs.select(*COLUMNS).where(has_letter("text"))
     named = identify_languages(docs.select("doc_id", "lang", "source", "n_chars", "text"), model, keep_text=True)
-    return named.where("lang_pred <> 'und'").select(*COLUMNS)
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    return named.where((F.col("lang_pred") != "und") & ((F.col("score") >= CLAIM) | (letters < LETTERS))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8; of repeated rows one stays."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out if unique else out.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates: five words, similarity 0.8; of repeated rows, and of rows that
+    share an id, each is judged by its own text."""
+    return near_duplicates(docs.select(*COLUMNS), carry=("lang", "source", "n_chars")).where("first").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,8 +35,7 @@ def cuts(data: bytes, gram: int = 0, spread: int = 0) -> np.ndarray:
     if n < gram + spread:
         return np.array([0, n] if n else [0])
     b = np.frombuffer(data, np.uint8)
-    at = np.arange(n - gram + 1)
-    chosen = np.unique(triggers(RunHashes(b.astype(np.uint64) + np.uint64(1)).of(at, at + gram), spread))
+    chosen = np.unique(triggers(RunHashes(b.astype(np.uint64) + np.uint64(1)).rolling(gram), spread))
     whole = np.append(np.flatnonzero((b & 0xC0) != 0x80), n)
     return np.unique(np.concatenate([[0], whole[np.searchsorted(whole, chosen)], [n]]))
 

@@ -145,6 +145,14 @@ class RunHashes:
         return mix64((self.sums[end] - self.sums[start]) * RunHashes.inverse[start] + mix64((end - start).astype(np.uint64)))
 
 
+    def rolling(self, window: int) -> np.ndarray:
+        """The same hash of every run of ``window`` numbers, in order."""
+        h = self.sums[window:] - self.sums[:-window]
+        h *= RunHashes.inverse[: len(h)]
+        h += mix64(np.array([window], np.uint64))[0]
+        return mix64(h)
+
+
 def minima(values: np.ndarray, window: int) -> np.ndarray:
     """For each window of ``values`` the position of its smallest value, the first of equal ones."""
     return np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1) + np.arange(len(values) - window + 1)

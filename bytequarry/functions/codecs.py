@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
     "Codec", "align", "ascii_int", "bind", "bit_list", "bits", "bytes_", "codec", "compressed_int", "decimal96", "flag_names", "flags",
     "fixed_string", "float32", "float64", "guid", "hexed", "masked", "nul_string", "once", "prefixed_string", "remainder", "signed_low_bit",
-    "sint", "timestamp", "uint", "uleb128_list", "version",
+    "sint", "timestamp", "uint", "uleb128_list", "version", "where_here",
 ]
 
 Codec = Callable[[Column, Column, Column | bool], Column]
@@ -37,6 +37,15 @@ def once(value: Column) -> Column:
     return F.get(F.transform(F.array(F.lit(0)), lambda _: value), F.lit(0))
 
 
+def where_here(rows: DataFrame, condition: Column) -> DataFrame:
+    """``rows.where(condition)`` that stays above the projections below it.
+
+    A filter that the optimizer moves below a projection repeats the expressions of its columns, and those of the columns they
+    are made of, so that a few decoding steps grow without bound. It does not move below a number of the row.
+    """
+    return rows.withColumn("_here", F.monotonically_increasing_id()).where(condition & (F.col("_here") >= 0)).drop("_here")
+
+
 def bytes_(data: Column, offset, size) -> Column:
     """``size`` bytes at ``offset``; null if they are not all there."""
 
@@ -112,12 +121,21 @@ def fixed_string(data: Column, offset, size, charset: str = "UTF-8", zero_ends:
 
 
 def nul_string(data: Column, offset, stop: str = "\x00", charset: str = "UTF-8") -> Column:
-    """Text up to the next NUL (or other ASCII ``stop``) or the end; the search is by byte, not by character."""
+    """Text up to the next NUL (or other ASCII ``stop``) or the end; the search is by byte, not by character.
+
+    A name is looked for in the next 128 bytes and only then in all the rest, so that the names of a heap cost time in
+    proportion to their own lengths.
+    """
+
+    def cut(d: Column, o: Column) -> Column:
+        def upto(most: int, otherwise: Callable[[], Column]) -> Column:
+            part = F.substring(d, (o + 1).cast("int"), F.lit(most))
+            return bind(part, lambda x: bind(F.instr(F.decode(x, "ISO-8859-1"), stop), lambda k: F.when(k > 0, F.substring(x, F.lit(1), k - 1)).when(o + most >= F.length(d), x).otherwise(otherwise())))
 
-    def cut(rest: Column) -> Column:
-        return bind(F.instr(F.decode(rest, "ISO-8859-1"), stop), lambda at: F.decode(F.when(at > 0, F.substring(rest, F.lit(1), at - 1)).otherwise(rest), charset))
+        text = upto(128, lambda: upto(2**31 - 1, lambda: F.lit(None).cast("binary")))
+        return F.decode(F.when((o >= 0) & (o <= F.length(d)), text), charset)
 
-    return bind(remainder(data, offset), cut)
+    return bind(data, lambda d: bind(_col(offset).cast("bigint"), lambda o: cut(d, o)))
 
 
 def prefixed_string(data: Column, offset, prefix: int = 1, charset: str = "UTF-8", unit: int = 1) -> Column:

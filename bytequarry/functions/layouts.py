@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -44,13 +45,71 @@ class Layout:
                 out[name] = F.array(*(get(data, base + at + i * size, big) for i in range(times))) if times else get(data, base + at, big)
         return out
 
-    def struct(self, data: Column, offset=0, big: Column | bool = False) -> Column:
-        return F.struct(*(c.alias(n) for n, c in self.read(data, offset, big).items()))
-
-
-def either(wide: Column, long_: dict[str, Column], short: dict[str, Column]) -> dict[str, Column]:
-    """Fields of two variants of a layout: those of ``long_`` where ``wide`` holds, else those of ``short``."""
-    return {n: F.when(wide, long_[n]).otherwise(short[n]) for n in long_}
+    def struct(self, data: Column, offset=0, big: Column | bool = False, like: Layout | None = None) -> Column:
+        """The record at the offset as one struct. Its bytes are cut out and written as digits once, in both directions where
+        both byte orders can occur, and every number is one run of these digits; fields that are not all there are null.
+
+        ``like`` gives the order and the types of the fields, for a variant whose numbers are narrower.
+        """
+        size, base = self.size, offset if isinstance(offset, Column) else F.lit(offset)
+        wanted = {n: kind for n, _, _, kind in (like or self).fields}
+
+        def fields(p: Column) -> Column:
+            out = {}
+            for name, at, times, kind in self.fields:
+                if not name.startswith("_"):
+                    width = codec(kind)[0]
+                    one = [_field(p, size, at + i * width, kind, big, wanted.get(name)) for i in range(times or 1)]
+                    out[name] = F.array(*one) if times else one[0]
+            return F.struct(*(out[n].alias(n) for n in wanted if n in out))
+
+        def digits(b: Column) -> Column:
+            full = F.call_function("rpad", b, F.lit(size), F.lit(b"\x00"))
+            back = F.encode(F.reverse(F.decode(full, "ISO-8859-1")), "ISO-8859-1")
+            return F.struct(b.alias("b"), F.length(b).alias("n"), F.hex(full).alias("f"), F.hex(back).alias("r"))
+
+        def cut(d: Column, o: Column) -> Column:
+            return F.when((o >= 0) & (o <= F.length(d)), F.substring(d, (o + 1).cast("int"), F.lit(size)))
+
+        part = bind(data, lambda d: bind(base.cast("bigint"), lambda o: cut(d, o)))
+        return _apply(part, lambda b: _apply(digits(b), fields))
+
+
+def _apply(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _type(kind: str) -> str | None:
+    """SQL type of a whole number's codec; none for other codecs."""
+    if kind[0] not in "ui":
+        return None
+    size = int(kind[1:].removesuffix("be").removesuffix("le")) // 8
+    return "bigint" if kind[0] == "i" and size == 8 else "int" if kind[0] == "i" or size <= 2 else "bigint" if size <= 7 else "decimal(20,0)"
+
+
+def _field(p: Column, whole: int, at: int, kind: str, big: Column | bool, wanted: str | None) -> Column:
+    """A field of the record whose bytes, length and digits are in ``p``."""
+    size, get = codec(kind)
+    if kind[0] == "b":
+        return F.when(p["n"] >= at + size, F.substring(p["b"], at + 1, size))
+    if kind[0] not in "ui":
+        return get(p["b"], F.lit(at), big)
+    order = {"be": True, "le": False}.get(kind[-2:], big)
+    forth, back = F.substring(p["f"], 2 * at + 1, 2 * size), F.substring(p["r"], 2 * (whole - at - size) + 1, 2 * size)
+    text = back if size == 1 or order is False else forth if order is True else F.when(order, forth).otherwise(back)
+    if kind[0] == "i" and size == 8:
+        value = F.conv(text, 16, -10)
+    elif kind[0] == "i":
+        half = 1 << (8 * size - 1)
+        value = F.pmod(F.conv(text, 16, 10).cast("bigint") + half, F.lit(2 * half)) - half
+    else:
+        value = F.conv(text, 16, 10)
+    return F.when(p["n"] >= at + size, value.cast(_type(wanted or kind)))
+
+
+def either(wide: Column, layouts: dict[int, Layout], data: Column, offset, big: Column | bool = False) -> Column:
+    """The record as a struct by the 64-bit layout where ``wide`` holds, else by the 32-bit one; fields and types of the first."""
+    return F.when(wide, layouts[64].struct(data, offset, big)).otherwise(layouts[32].struct(data, offset, big, layouts[64]))
 
 
 def records(data: Column, offset: Column, count: Column, stride, one) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import once, sint
+from ..functions.codecs import bind, once, sint, where_here
 from ..functions.enums import codes, name_of
 from ..functions.layouts import Layout, records
 from .walks import chains, directory_order, sector_table
@@ -54,16 +54,18 @@ def _tables(images: DataFrame) -> DataFrame:
     The Arrow helpers are given plain columns only: the optimizer would otherwise leave lambdas in their arguments.
     """
     c = F.col
-    df = _opened(images).where("unit is not null and mini is not null and h.num_difat is not null")
+    df = where_here(_opened(images), c("unit").isNotNull() & c("mini").isNotNull() & c("h.num_difat").isNotNull())
     df = df.withColumn("difat", sector_table("content", "unit", "h.first_difat", "h.num_difat"))
     df = df.withColumn("roots", _chains("unit", "difat", F.array(c("h.first_directory"), c("h.first_mini")), F.array(F.lit(ANY - 1), F.lit(ANY - 1)), F.lit(0), F.lit(ANY), F.lit(1)))
     df = df.withColumn("directory", _joined(c("content"), F.get("roots", F.lit(0)), 1, c("unit"), "0"))
 
     def entry(t: Column, o: Column, i: Column) -> Column:
-        fields = ENTRY.read(t, o)
-        length = F.least(F.greatest(fields["name_size"] - 2, F.lit(0)), F.lit(64))
-        name = F.decode(F.substring(t, (o + 1).cast("int"), length), "UTF-16LE")
-        return F.struct(i.alias("idx"), name.alias("name"), *(v.alias(n) for n, v in fields.items()))
+        def named(v: Column) -> Column:
+            length = F.least(F.greatest(v["name_size"] - 2, F.lit(0)), F.lit(64))
+            name = F.decode(F.substring(t, (o + 1).cast("int"), length), "UTF-16LE")
+            return F.struct(i.alias("idx"), name.alias("name"), *(v[n].alias(n) for n, *_ in ENTRY.fields if not n.startswith("_")))
+
+        return bind(ENTRY.struct(t, o), named)
 
     df = df.withColumn("entries", records(c("directory"), F.lit(0), F.floor(F.length("directory") / ENTRY.size), ENTRY.size, entry)).drop("directory")
     mini = F.get("roots", F.lit(1))

@@ -26,8 +26,7 @@ RELOCATION = {w: Layout(f"r_offset:u{w} r_info:u{w} r_addend:i{w}") for w in (32
 
 
 def _both(layouts: dict[int, Layout], data: Column, offset, big: Column, wide: Column) -> Column:
-    fields = either(wide, layouts[64].read(data, offset, big), layouts[32].read(data, offset, big))
-    return F.struct(*(c.alias(n) for n, c in fields.items()))
+    return either(wide, layouts, data, offset, big)
 
 
 def _table(layouts: dict[int, Layout], data: Column, offset: Column, count: Column, big: Column, wide: Column, less: int = 0) -> Column:
@@ -103,7 +102,9 @@ def elf_symbols(images: DataFrame, dynamic: bool = False, with_data: bool = Fals
 
         def one(r: Column) -> Column:
             home = F.get("sh", r["v"]["st_shndx"])["v"]
-            inside = F.when((r["v"]["st_shndx"] > 0) & (r["v"]["st_shndx"] < 0xFF00) & (home["sh_type"] != 8), bytes_(bytes_(c, home["sh_offset"], home["sh_size"]), r["v"]["st_value"] - home["sh_addr"], r["v"]["st_size"]))
+            at = r["v"]["st_value"] - home["sh_addr"]
+            fits = (at >= 0) & (at + r["v"]["st_size"] <= home["sh_size"]) & (home["sh_offset"] + home["sh_size"] <= F.length(c))
+            inside = F.when((r["v"]["st_shndx"] > 0) & (r["v"]["st_shndx"] < 0xFF00) & (home["sh_type"] != 8) & fits, bytes_(c, home["sh_offset"] + at, r["v"]["st_size"]))
             runs_ = (bits(r["v"]["st_info"], 0, 4) == 2) & (bits(home["sh_flags"], 2, 1) == 1)
             return F.struct(t["pos"].alias("section_idx"), r["pos"].alias("pos"), nul_string(heap, r["v"]["st_name"]).alias("name"), r["v"].alias("v"), F.coalesce(runs_, F.lit(False)).alias("executable"), *([inside.alias("data")] if with_data else []))
 

@@ -105,8 +105,7 @@ def mach_commands(images: DataFrame) -> DataFrame:
 def _segments(images: DataFrame) -> DataFrame:
     p, big = F.col("payload"), F.col("big")
     rows = _commands(images).where(F.col("cmd").isin(1, 0x19)).withColumn("long", F.col("cmd") == 0x19)
-    fields = either(F.col("long"), SEGMENT[64].read(p, 8, big), SEGMENT[32].read(p, 8, big))
-    return rows.withColumn("v", once(F.struct(*(c.alias(n) for n, c in fields.items()))))
+    return rows.withColumn("v", once(either(F.col("long"), SEGMENT, p, 8, big)))
 
 
 def mach_segments(images: DataFrame, with_data: bool = False) -> DataFrame:
@@ -121,8 +120,7 @@ def mach_sections(images: DataFrame) -> DataFrame:
     p, big, long_ = F.col("payload"), F.col("big"), F.col("long")
 
     def one(t: Column, o: Column, i: Column) -> Column:
-        fields = either(long_, SECTION[64].read(t, o, big), SECTION[32].read(t, o, big))
-        return F.struct(i.alias("i"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("s"))
+        return F.struct(i.alias("i"), either(long_, SECTION, t, o, big).alias("s"))
 
     table = records(p, F.when(long_, 8 + SEGMENT[64].size).otherwise(8 + SEGMENT[32].size), F.col("v.nsects"), F.when(long_, SECTION[64].size).otherwise(SECTION[32].size), one)
     rows = _segments(images).select("image_id", F.col("pos").alias("segment_pos"), F.inline(table))
@@ -144,8 +142,7 @@ def mach_symbols(images: DataFrame) -> DataFrame:
     rows = first.withColumn("v", once(Layout(PAYLOADS["SYMTAB"]).struct(p, 8, big))).withColumn("heap", once(bytes_(F.col("content"), F.col("v.stroff"), F.col("v.strsize"))))
 
     def one(t: Column, o: Column, i: Column) -> Column:
-        fields = either(wide, SYMBOL[64].read(t, o, big), SYMBOL[32].read(t, o, big))
-        return F.struct(i.alias("pos"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("s"))
+        return F.struct(i.alias("pos"), either(wide, SYMBOL, t, o, big).alias("s"))
 
     table = records(F.col("content"), F.col("v.symoff"), F.col("v.nsyms"), F.when(wide, SYMBOL[64].size).otherwise(SYMBOL[32].size), one)
     named = F.transform(table, lambda r: F.struct(r["pos"].alias("pos"), r["s"].alias("s"), nul_string(F.col("heap"), r["s"]["strx"]).alias("name")))

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bytes_, flag_names, nul_string, once, sint, timestamp, uint
+from ..functions.codecs import bind, bytes_, flag_names, nul_string, once, sint, timestamp, uint, where_here
 from ..functions.enums import codes, name_of, names
 from ..functions.layouts import Layout, records
-from .walks import address_slices, pointer_lists, resource_leaves
+from .walks import pointer_lists, resource_leaves
 
 __all__ = [
-    "coff_import_symbols", "coff_sections", "directory_bytes", "opened", "pe_directories", "pe_exports", "pe_header", "pe_imports", "pe_resources",
-    "pe_sections", "read_directory", "register_directory", "with_slices",
+    "bytes_at", "coff_import_symbols", "coff_sections", "directory_bytes", "opened", "pe_directories", "pe_exports", "pe_header", "pe_imports", "pe_resources",
+    "pe_sections", "place_of", "read_directory", "register_directory", "text_at",
 ]
 
 DOS = Layout("magic:u16 cblp:u16 cp:u16 crlc:u16 cparhdr:u16 minalloc:u16 maxalloc:u16 ss:u16 sp:u16 csum:u16 ip:u16 cs:u16 lfarlc:u16 ovno:u16 res:4*u16 oemid:u16 oeminfo:u16 res2:10*u16 lfanew:i32")
@@ -59,10 +59,23 @@ def _sections(data: Column, offset: Column, count: Column) -> Column:
     return records(data, offset, count, SECTION.size, lambda t, o, i: F.struct(i.alias("pos"), SECTION.struct(t, o).alias("v")))
 
 
-def with_slices(rows: DataFrame, name: str, addresses: Column, lengths: Column) -> DataFrame:
-    """Adds the array of bytes at the addresses; null for one outside the raw data of all sections. The first section wins."""
-    part = lambda f: F.transform("sections", lambda s: s["v"][f])
-    return rows.withColumn(name, address_slices("content", part("VirtualAddress"), part("SizeOfRawData"), part("PointerToRawData"), addresses, lengths))
+def place_of(address: Column) -> Column:
+    """Struct (at, rest): file offset of an address and the bytes from there to the end of its section's raw data.
+
+    The first section that holds the address wins; null for one outside all sections.
+    """
+    home = F.filter("sections", lambda s: (address >= s["v"]["VirtualAddress"]) & (address < s["v"]["VirtualAddress"] + s["v"]["SizeOfRawData"]))
+    return bind(F.get(home, F.lit(0))["v"], lambda v: F.when(v.isNotNull(), F.struct((v["PointerToRawData"] + address - v["VirtualAddress"]).alias("at"), (v["VirtualAddress"] + v["SizeOfRawData"] - address).alias("rest"))))
+
+
+def bytes_at(address: Column, length: Column | None = None) -> Column:
+    """Bytes at an address, to the end of the section at most; null where the file does not hold them."""
+    return bind(place_of(address), lambda p: bytes_(content(), p["at"], p["rest"] if length is None else F.least(p["rest"], length)))
+
+
+def text_at(address: Column, skip: int = 0) -> Column:
+    """Text up to the next NUL at an address; null for one outside all sections."""
+    return nul_string(content(), place_of(address)["at"] + skip)
 
 
 def _section_rows(rows: DataFrame, with_data: bool) -> DataFrame:
@@ -86,11 +99,14 @@ def pe_header(images: DataFrame) -> DataFrame:
 
 def _optional(bits_: int) -> Column:
     """The optional header from ``body``; both widths have the same fields and types."""
-    fields = OPTIONAL[bits_].read(F.col("body"))
-    base = fields.get("BaseOfData", F.lit(None).cast("bigint"))
     wide = ("ImageBase", "SizeOfStackReserve", "SizeOfStackCommit", "SizeOfHeapReserve", "SizeOfHeapCommit")
-    same = [(c.cast("decimal(20,0)") if n in wide else c).alias(n) for n, c in fields.items() if n != "BaseOfData"]
-    return F.struct(*same, base.alias("BaseOfData"))
+    names_ = [n for n, *_ in OPTIONAL[64].fields]
+
+    def same(v: Column) -> Column:
+        base = v["BaseOfData"] if bits_ == 32 else F.lit(None).cast("bigint")
+        return F.struct(*((v[n].cast("decimal(20,0)") if n in wide else v[n]).alias(n) for n in names_), base.alias("BaseOfData"))
+
+    return bind(OPTIONAL[bits_].struct(F.col("body")), same)
 
 
 def pe_sections(images: DataFrame, with_data: bool = False) -> DataFrame:
@@ -116,52 +132,54 @@ def coff_import_symbols(images: DataFrame) -> DataFrame:
 
 def pe_directories(images: DataFrame) -> DataFrame:
     """image_id, pos, name, VirtualAddress, Size of the data directories; those past the known ones have no name."""
-    rows = opened(images).select("image_id", F.inline("directories"))
+    rows = opened(images).select("image_id", F.inline(once(F.col("directories"))))
     return rows.select("image_id", "pos", name_of(F.col("pos"), "PE_DIRECTORY").alias("name"), "VirtualAddress", "Size")
 
 
 def directory_bytes(images: DataFrame, name: str) -> DataFrame:
     """The opened images with ``base`` and ``data`` of a directory of non-zero size; the certificate table's address is a file offset."""
     at = codes("PE_DIRECTORY")[name]
-    rows = opened(images).withColumn("dir", once(F.get("directories", F.lit(at)))).where("dir.Size > 0")
+    rows = where_here(opened(images).withColumn("dir", once(F.get("directories", F.lit(at)))), F.col("dir.Size") > 0)
     rows = rows.withColumns({"base": F.col("dir.VirtualAddress"), "length": F.col("dir.Size")})
     if name == "SECURITY":
         rows = rows.withColumn("data", once(bytes_(content(), F.col("base"), F.col("length"))))
     else:
-        rows = with_slices(rows, "slices", F.array("base"), F.array("length")).withColumn("data", F.col("slices")[0]).drop("slices")
-    return rows.where("data is not null")
+        rows = rows.withColumn("data", once(bytes_at(F.col("base"), F.col("length"))))
+    return where_here(rows, F.col("data").isNotNull())
 
 
 def _words(data: Column, count: Column, size: int) -> Column:
     return records(data, F.lit(0), count, size, lambda t, o, i: uint(t, o, size).cast("bigint"))
 
 
-def pe_exports(images: DataFrame, pair_by_position: bool = False) -> DataFrame:
-    """image_id, dll, pos, ordinal, name, address, size, data of the exports that lie in a section.
+def pe_exports(images: DataFrame, pair_by_position: bool = False, with_data: bool = False) -> DataFrame:
+    """image_id, dll, pos, ordinal, name, address, size and, if wanted, data of the exports that lie in a section.
 
-    Name i belongs to function ``ordinals[i]``; with ``pair_by_position`` it is paired with function i instead and
-    takes its ordinal. Size is the distance to the next greater address; the last goes to the end of its section.
+    Name i belongs to function ``ordinals[i]``, the first of several; with ``pair_by_position`` it is paired with function i
+    instead and takes its ordinal. Size is the distance to the next greater address; the last goes to the end of its section.
+    Data are joined back from the images, so that the sizes are found on narrow rows.
     """
     rows = directory_bytes(images, "EXPORT").select("image_id", "content", "sections", once(EXPORTS.struct(F.col("data"))).alias("e"))
-    none = F.lit(None).cast("bigint")
-    rows = with_slices(rows, "s", F.array("e.FunctionTable", "e.NameTable", "e.OrdinalTable", "e.DLLName"), F.array(F.col("e.NumberEntries") * 4, F.col("e.NumberNames") * 4, F.col("e.NumberNames") * 2, none))
-    rows = rows.select("image_id", "content", "sections", "e", _words(F.col("s")[0], F.col("e.NumberEntries"), 4).alias("functions"), _words(F.col("s")[1], F.col("e.NumberNames"), 4).alias("names"), _words(F.col("s")[2], F.col("e.NumberNames"), 2).alias("ordinals"), nul_string(F.col("s")[3], F.lit(0)).alias("dll"))
-    blank = lambda c: F.transform(c, lambda _: none)
-    rows = with_slices(rows, "bodies", F.col("functions"), blank("functions"))
-    rows = with_slices(rows, "texts", F.col("names"), blank("names"))
-
-    def one(address: Column, i: Column) -> Column:
-        where_ = (i + 1).cast("bigint") if pair_by_position else F.array_position("ordinals", i.cast("bigint"))
-        named = (where_ > 0) & (where_ <= F.size("texts"))
-        text = F.when(named, F.get("texts", (where_ - 1).cast("int")))
-        ordinal = F.when(named, F.get("ordinals", (where_ - 1).cast("int"))).otherwise(i) if pair_by_position else i
-        return F.struct(i.alias("pos"), (ordinal + F.col("e.OrdinalBase")).alias("ordinal"), text.alias("text"), address.alias("address"), F.get("bodies", i).alias("rest"))
-
-    table = F.filter(F.transform("functions", one), lambda x: x["rest"].isNotNull())
-    rows = rows.select("image_id", "dll", F.inline(table))
+    table = lambda f, n, size: once(_words(bytes_at(F.col(f"e.{f}"), F.col(f"e.{n}") * size), F.col(f"e.{n}"), size))
+    rows = rows.withColumns({"functions": table("FunctionTable", "NumberEntries", 4), "names": table("NameTable", "NumberNames", 4), "ordinals": table("OrdinalTable", "NumberNames", 2), "dll": once(text_at(F.col("e.DLLName")))})
+    rows = rows.withColumn("texts", once(F.transform("names", lambda a: text_at(a))))
+    rows = rows.withColumn("places", once(F.transform("functions", lambda a: place_of(a))))
+    rows = rows.select("image_id", "dll", F.col("e.OrdinalBase").alias("base"), "functions", "places", F.arrays_zip("ordinals", "texts").alias("named"))
+    found = rows.select("image_id", "dll", "base", F.posexplode(F.arrays_zip("functions", "places")).alias("pos", "x"))
+    found = found.select("image_id", "dll", "base", "pos", F.col("x.functions").alias("address"), F.col("x.places.at").alias("at"), F.col("x.places.rest").alias("rest")).where("at is not null")
+    names_ = rows.select("image_id", F.posexplode("named").alias("i", "x")).select("image_id", "i", F.col("x.ordinals").alias("ordinal"), F.col("x.texts").alias("name"))
+    if pair_by_position:
+        names_ = names_.withColumnRenamed("i", "pos")
+    else:
+        names_ = names_.groupBy("image_id", "ordinal").agg(F.min_by("name", "i").alias("name")).withColumnRenamed("ordinal", "pos")
     following = F.min("address").over(Window.partitionBy("image_id").orderBy("address").rangeBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("size", F.coalesce(following - F.col("address"), F.length("rest").cast("bigint")))
-    return rows.select("image_id", "dll", "pos", "ordinal", F.coalesce(nul_string(F.col("text"), F.lit(0)), F.lit("")).alias("name"), "address", "size", F.substring("rest", F.lit(1), F.col("size").cast("int")).alias("data"))
+    found = found.withColumn("size", F.coalesce(following - F.col("address"), F.col("rest"))).join(names_, ["image_id", "pos"], "left")
+    ordinal = (F.coalesce("ordinal", "pos") if pair_by_position else F.col("pos")) + F.col("base")
+    columns = ["image_id", "dll", "pos", ordinal.alias("ordinal"), F.coalesce("name", F.lit("")).alias("name"), "address", "size"]
+    if not with_data:
+        return found.select(*columns)
+    cut = bytes_(content(), F.col("at"), F.least("size", "rest"))
+    return found.join(images.select("image_id", "content"), "image_id").select(*columns, cut.alias("data"))
 
 
 def pe_imports(images: DataFrame) -> DataFrame:
@@ -171,34 +189,31 @@ def pe_imports(images: DataFrame) -> DataFrame:
     read where it resolves, else the address table. An import by ordinal is named ``ordinal_N``.
     """
     rows = directory_bytes(images, "IMPORT").withColumn("width", F.when(F.col("magic") == 0x20B, 8).otherwise(4))
-    rows = with_slices(rows, "rest", F.array("base"), F.array(F.lit(None).cast("bigint"))).withColumn("rest", F.col("rest")[0])
+    rows = rows.withColumn("rest", once(bytes_at(F.col("base"))))
     table = records(F.col("rest"), F.lit(0), F.floor(F.length("rest") / IMPORTS.size), IMPORTS.size, lambda t, o, i: F.struct(i.alias("pos"), IMPORTS.struct(t, o).alias("v")))
     rows = rows.select("image_id", "content", "sections", "width", once(table).alias("all"))
     stop = F.array_min(F.transform(F.filter("all", lambda d: d["v"]["Characteristics"] == 0), lambda d: d["pos"]))
-    rows = rows.withColumn("d", F.slice("all", F.lit(1), F.coalesce(stop, F.size("all"))))
-    inside = lambda a: F.exists("sections", lambda s: (a >= s["v"]["VirtualAddress"]) & (a < s["v"]["VirtualAddress"] + s["v"]["SizeOfRawData"]))
-    source = F.transform("d", lambda d: F.when(inside(d["v"]["Characteristics"]), d["v"]["Characteristics"]).otherwise(d["v"]["FirstThunk"]))
-    part = lambda f: F.transform("sections", lambda s: s["v"][f])
-    rows = rows.withColumn("thunks", pointer_lists("content", part("VirtualAddress"), part("SizeOfRawData"), part("PointerToRawData"), source, "width"))
-    rows = with_slices(rows, "dlls", F.transform("d", lambda d: d["v"]["DllName"]), F.transform("d", lambda d: F.lit(None).cast("bigint")))
-    rows = rows.select("image_id", "content", "sections", "width", F.posexplode(F.arrays_zip("thunks", "dlls")).alias("dll_pos", "x"))
-    rows = rows.select("image_id", "content", "sections", "width", "dll_pos", nul_string(F.col("x.dlls"), F.lit(0)).alias("dll"), F.col("x.thunks").alias("thunks"))
-    by_number = lambda v: F.when(F.col("width") == 8, v < 0).otherwise(v < 0)
-    rows = with_slices(rows, "texts", F.transform("thunks", lambda v: F.when(~by_number(v), v)), F.transform("thunks", lambda v: F.lit(None).cast("bigint")))
-    rows = rows.select("image_id", "dll_pos", "dll", "width", F.posexplode(F.arrays_zip("thunks", "texts")).alias("pos", "x"))
-    v = F.col("x.thunks")
+    rows = rows.withColumn("d", once(F.slice("all", F.lit(1), F.coalesce(stop, F.size("all"))))).drop("all")
+    source = lambda d: F.coalesce(place_of(d["v"]["Characteristics"]), place_of(d["v"]["FirstThunk"]))
+    rows = rows.withColumns({"source": once(F.transform("d", source)), "dlls": once(F.transform("d", lambda d: text_at(d["v"]["DllName"])))})
+    rows = rows.withColumn("thunks", pointer_lists("content", F.transform("source", lambda p: p["at"]), F.transform("source", lambda p: p["rest"]), "width"))
+    named = F.transform("thunks", lambda row: F.transform(row, lambda v: F.struct(v.alias("v"), F.when(v >= 0, text_at(v, 2)).alias("text"), F.when(v >= 0, uint(content(), place_of(v)["at"], 2)).alias("hint"))))
+    rows = rows.select("image_id", "width", F.posexplode(F.arrays_zip("dlls", named.alias("named"))).alias("dll_pos", "x"))
+    rows = rows.select("image_id", "width", "dll_pos", F.col("x.dlls").alias("dll"), F.posexplode("x.named").alias("pos", "y"))
+    v = F.col("y.v")
     ordinal = F.when(v < 0, F.when(F.col("width") == 8, v - F.lit(-(1 << 63))).otherwise(v + F.lit(1 << 31)))
-    return rows.select("image_id", "dll_pos", "dll", "pos", F.when(v < 0, F.concat(F.lit("ordinal_"), ordinal.cast("string"))).otherwise(nul_string(F.col("x.texts"), F.lit(2))).alias("name"), F.when(v >= 0, uint(F.col("x.texts"), 0, 2)).alias("hint"), ordinal.alias("ordinal"))
+    return rows.select("image_id", "dll_pos", "dll", "pos", F.when(v < 0, F.concat(F.lit("ordinal_"), ordinal.cast("string"))).otherwise(F.col("y.text")).alias("name"), F.col("y.hint").alias("hint"), ordinal.alias("ordinal"))
 
 
-def pe_resources(images: DataFrame, depth: int = 16) -> DataFrame:
+def pe_resources(images: DataFrame) -> DataFrame:
     """image_id, path (a name or number per level), type_id, type_name, offset, size, codepage, data of the resource leaves.
 
-    Directories deeper than ``depth`` levels are not followed; the format has three. Known top-level types have names.
+    Levels are followed as deep as they go, each directory once, so a table that points to itself ends.
+    Known top-level types have names.
     """
-    rows = directory_bytes(images, "RESOURCE").withColumn("leaves", resource_leaves("data", F.lit(depth)))
-    rows = with_slices(rows, "bodies", F.transform("leaves", lambda x: x["offset"]), F.transform("leaves", lambda x: x["size"]))
-    rows = rows.select("image_id", F.explode(F.arrays_zip("leaves", "bodies")).alias("x")).select("image_id", "x.leaves.*", F.col("x.bodies").alias("data"))
+    rows = directory_bytes(images, "RESOURCE").withColumn("leaves", resource_leaves("data"))
+    rows = rows.select("image_id", F.inline(F.transform("leaves", lambda x: F.struct(x.alias("leaf"), bytes_at(x["offset"], x["size"]).alias("data")))))
+    rows = rows.select("image_id", "leaf.*", "data")
     kind = name_of(F.col("type_id"), "PE_RESOURCE")
     path = F.transform("path", lambda p, i: F.when((i == 0) & kind.isNotNull(), kind).otherwise(p))
     return rows.select("image_id", path.alias("path"), "type_id", kind.alias("type_name"), "offset", "size", "codepage", "data")

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["address_slices", "chain", "chains", "directory_order", "member_offsets", "pointer_lists", "record_offsets", "resource_leaves", "sector_table"]
+__all__ = ["chain", "chains", "directory_order", "member_offsets", "pointer_lists", "record_offsets", "resource_leaves", "sector_table"]
 
 
 def _members(content: bytes | None) -> list[int]:
@@ -81,29 +81,12 @@ def _directory_order(names: list[str] | None, left: list[int], right: list[int],
     return out
 
 
-def _place(starts: list[int], sizes: list[int], files: list[int], address: int | None) -> tuple[int, int] | None:
-    """File range from an address to the end of the first section that holds it."""
-    for va, size, at in zip(starts or (), sizes or (), files or (), strict=True):
-        if address is not None and va <= address < va + size:
-            return at + address - va, at + size
-    return None
-
-
-def _slices(content: bytes, starts: list[int], sizes: list[int], files: list[int], addresses: list[int], lengths: list[int]) -> list[bytes | None]:
-    out = []
-    for address, length in zip(addresses or (), lengths or (), strict=True):
-        found = _place(starts, sizes, files, address)
-        end = None if found is None else found[1] if length is None else min(found[1], found[0] + length)
-        out.append(None if found is None or end > len(content) else content[found[0] : end])
-    return out
-
-
-def _pointers(content: bytes, starts: list[int], sizes: list[int], files: list[int], addresses: list[int], width: int) -> list[list[int]]:
+def _pointers(content: bytes, places: list[int | None], rests: list[int | None], width: int) -> list[list[int]]:
     out = []
-    for address in addresses or ():
-        found, values = _place(starts, sizes, files, address), []
-        if found is not None:
-            for at in range(found[0], min(found[1], len(content)) - width + 1, width):
+    for start, rest in zip(places or (), rests or (), strict=True):
+        values: list[int] = []
+        if start is not None:
+            for at in range(start, min(start + rest, len(content)) - width + 1, width):
                 value = int.from_bytes(content[at : at + width], "little", signed=True)
                 if not value:
                     break
@@ -112,14 +95,14 @@ def _pointers(content: bytes, starts: list[int], sizes: list[int], files: list[i
     return out
 
 
-def _leaves(data: bytes | None, depth: int) -> list[dict]:
+def _leaves(data: bytes | None) -> list[dict]:
     out: list[dict] = []
 
     def number(at: int, n: int) -> int | None:
         return int.from_bytes(data[at : at + n], "little") if 0 <= at and at + n <= len(data) else None
 
-    def visit(at: int, path: list[str], ids: list[int | None]) -> None:
-        counts = number(at + 12, 2), number(at + 14, 2)
+    def entries(at: int, path: list[str], kind: int | None) -> list[tuple[int, list[str], int | None]]:
+        counts, found = (number(at + 12, 2), number(at + 14, 2)), []
         for i in range(sum(counts) if None not in counts else 0):
             u0, u1 = number(at + 16 + 8 * i, 4), number(at + 20 + 8 * i, 4)
             if u0 is None or u1 is None:
@@ -128,32 +111,35 @@ def _leaves(data: bytes | None, depth: int) -> list[dict]:
             if u0 >> 31:
                 size = number(u0 & 0x7FFFFFFF, 2) or 0
                 label = data[(u0 & 0x7FFFFFFF) + 2 : (u0 & 0x7FFFFFFF) + 2 + 2 * size].decode("utf-16le", "replace")
-            here, own = [*path, label], [*ids, None if u0 >> 31 else u0]
-            if u1 >> 31:
-                if len(here) < depth:
-                    visit(u1 & 0x7FFFFFFF, here, own)
-            elif number(u1, 4) is not None and number(u1 + 8, 4) is not None:
-                out.append({"path": here, "type_id": own[0], "offset": number(u1, 4), "size": number(u1 + 4, 4), "codepage": number(u1 + 8, 4)})
-
-    if data is not None:
-        visit(0, [], [])
+            found.append((u1, [*path, label], kind if path else None if u0 >> 31 else u0))
+        return found
+
+    if data is None:
+        return out
+    todo, seen = entries(0, [], None)[::-1], {0}
+    while todo:
+        at, path, kind = todo.pop()
+        if at >> 31:
+            if (at := at & 0x7FFFFFFF) not in seen:
+                seen.add(at)
+                todo += entries(at, path, kind)[::-1]
+        elif number(at, 4) is not None and number(at + 8, 4) is not None:
+            out.append({"path": path, "type_id": kind, "offset": number(at, 4), "size": number(at + 4, 4), "codepage": number(at + 8, 4)})
     return out
 
 
 _LONGS = T.ArrayType(T.LongType())
-#: Bytes at addresses: content, sections' starts, sizes and file offsets, addresses, lengths (null: to the section's end).
-address_slices = F.udf(_slices, T.ArrayType(T.BinaryType()), useArrow=True)
-#: Pointers of a width from each address up to the first zero, signed.
-pointer_lists = F.udf(_pointers, T.ArrayType(_LONGS), useArrow=True)
-#: Leaves of a resource tree of at most so many levels.
-resource_leaves = F.udf(_leaves, T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("type_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("codepage", T.LongType())])), useArrow=True)
+# All are marked so that no projection above repeats them or moves them into a lambda, where no UDF can run.
+#: Pointers of a width from each file offset up to the first zero, signed: content, offsets, bytes there, width.
+pointer_lists = F.udf(_pointers, T.ArrayType(_LONGS), useArrow=True).asNondeterministic()
+#: Leaves of a resource tree; a directory is entered once.
+resource_leaves = F.udf(_leaves, T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("type_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("codepage", T.LongType())])), useArrow=True).asNondeterministic()
 #: Header offsets of the members of a static-link archive.
-member_offsets = F.udf(_members, T.ArrayType(T.LongType()), useArrow=True)
+member_offsets = F.udf(_members, T.ArrayType(T.LongType()), useArrow=True).asNondeterministic()
 #: Offsets of size-prefixed records: content, start, count or null, place and width of the size, bytes to add, big-endian.
-record_offsets = F.udf(_records, T.ArrayType(T.LongType()), useArrow=True)
+record_offsets = F.udf(_records, T.ArrayType(T.LongType()), useArrow=True).asNondeterministic()
 #: Ids of a linked list: the follower of each id, and the first id. Ends at an id outside, or that was met before.
-chain = F.udf(_chain, T.ArrayType(T.IntegerType()), useArrow=True)
-# The next three are marked so that no projection above repeats them or moves them into a lambda, where no UDF can run.
+chain = F.udf(_chain, T.ArrayType(T.IntegerType()), useArrow=True).asNondeterministic()
 #: Sectors of several streams: content, sector size, ids of the table's sectors, first ids, sizes, least and limit of the sizes wanted, bytes a link stands for.
 chains = F.udf(_chains, T.ArrayType(T.ArrayType(T.IntegerType())), useArrow=True).asNondeterministic()
 #: Ids of the sectors of a compound document's sector table: content, sector size, first chained sector, number of these.

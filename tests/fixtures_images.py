@@ -80,7 +80,7 @@ def pe(bits=64, exports=((b"beta", 0x1010), (b"alpha", 0x1000), (b"gamma", 0x101
     text = struct.pack("<H", 2) + "Né".encode("utf-16le")
     d = lambda named, ids: struct.pack("<IIHHHH", 0, 0, 0, 0, named, ids)
     res = d(0, 1) + struct.pack("<II", 24, 0x80000018) + d(1, 1) + struct.pack("<IIII", 0x80000058, 0x80000038, 13, 0x48) + bytes(0)
-    res = res.ljust(0x38, b"\0") + d(0, 1)[:16]
+    res = res.ljust(0x38, b"\0") + d(0, 0)
     res = res.ljust(0x48, b"\0") + struct.pack("<IIII", leaf, 11, 1252, 0) + text
     # level 3 directory at 0x38 holds no entries of its own here; the id entry 13 is a leaf at 0x48
     rsrc = put(res, 16)

@@ -82,6 +82,7 @@ def test_pe(spark, bits):
     end = s.VirtualAddress + s.SizeOfRawData
     e = sorted(P.pe_exports(df).collect(), key=lambda r: r.pos)
     assert [(r.dll, r.ordinal, r.name, r.address, r["size"]) for r in e] == [("me.dll", 10, "beta", 0x1010, end - 0x1010), ("me.dll", 11, "alpha", 0x1000, 16), ("me.dll", 12, "gamma", 0x1010, end - 0x1010)]
+    assert {r.name: bytes(r.data) for r in P.pe_exports(df, with_data=True).collect()} == {"beta": data[16:].ljust(end - 0x1010, b"\0"), "alpha": data[:16], "gamma": data[16:].ljust(end - 0x1010, b"\0")}
     c = sorted(P.pe_exports(df, pair_by_position=True).collect(), key=lambda r: r.pos)
     assert [(r.ordinal, r.name, r.address) for r in c] == [(11, "alpha", 0x1010), (10, "beta", 0x1000), (12, "gamma", 0x1010)]
     i = sorted(P.pe_imports(df).collect())
@@ -91,6 +92,22 @@ def test_pe(spark, bits):
     assert P.read_directory(df, "TLS").collect() == [] and P.read_directory(df, "IMPORT").count() == 4
 
 
+def test_hostile_resources():
+    """Directories that point to themselves or to each other, ever deeper, end; each is entered once."""
+    from time import perf_counter
+
+    from bytequarry.operators.walks import _leaves
+
+    head = lambda n: struct.pack("<IIHHHH", 0, 0, 0, 0, 0, n)
+    own = head(6) + b"".join(struct.pack("<II", i, 0x80000000) for i in range(6))
+    chain = b"".join(head(2) + struct.pack("<IIII", 1, 0x80000000 + 32 * (i + 1), 2, 0x80000000 + 32 * (i + 1)) for i in range(2000))
+    leaf = head(1) + struct.pack("<II", 7, 24) + struct.pack("<IIII", 0x1000, 5, 0, 0)
+    start = perf_counter()
+    assert _leaves(own) == [] and _leaves(chain) == [] and _leaves(b"") == [] and _leaves(None) == []
+    assert _leaves(leaf) == [{"path": ["7"], "type_id": 7, "offset": 0x1000, "size": 5, "codepage": 0}]
+    assert perf_counter() - start < 5
+
+
 def test_coff(spark):
     sec = struct.pack("<8sIIIIIIHHI", b".data", 0, 0, 4, 68, 0, 0, 0, 0, 0xC0000040)
     obj = struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, 8, 0) + bytes(8) + sec + b"DATA"

@@ -82,9 +82,8 @@ def _parse(length: int):
                 if len(data) < length:
                     counts.append(0)
                     continue
-                at = np.arange(len(data) - length + spread)
-                hashes = RunHashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1))
-                chosen = triggers(hashes.of(at, at + gram), spread)
+                hashes = RunHashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)).rolling(gram)
+                chosen = triggers(hashes[: len(data) - length + spread], spread)
                 start, end = runs(chosen)
                 t = chosen[start]
                 whole = digests(data[x:y] for x, y in zip(start.tolist(), (end - 1 + length).tolist(), strict=True))

@@ -14,6 +14,7 @@ occurrence of blocks whose anchor has several different blocks are single window
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -63,8 +64,7 @@ def _parse(window: int, phrase: int):
                 if len(words) < window:
                     counts.append(0)
                     continue
-                at = np.arange(len(words) - phrase + 1)
-                grams = RunHashes(word_hashes(words)).of(at, at + phrase) >> np.uint64(1)
+                grams = RunHashes(word_hashes(words)).rolling(phrase) >> np.uint64(1)
                 chosen = triggers(grams, window - phrase + 1)
                 first, _ = runs(chosen)
                 u, i, c = np.unique(grams[chosen[first]], return_index=True, return_counts=True)
@@ -84,7 +84,7 @@ def locate(automaton: ahocorasick.Automaton, hashes: np.ndarray, data: bytes, wi
     """(anchor, first window, windows) of the blocks that the automaton's hits make of a text, and their words."""
     line, gaps, _ = joined_words(data)
     n = len(gaps) - 1
-    hits = np.array(list(automaton.iter(line.decode("latin-1"))) if n >= window else [], np.int64).reshape(-1, 2)
+    hits = np.fromiter(chain.from_iterable(automaton.iter(line.decode("latin-1"))) if n >= window else (), np.int64).reshape(-1, 2)
     if not len(hits):
         return [np.zeros(0, np.int64)] * 3, []
     value = np.full(n - phrase + 1, np.iinfo(np.uint64).max, np.uint64)
@@ -164,8 +164,11 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
 
 
-def _cut(window: int):
-    """Removes the words of the windows from the texts; the layout between kept words stays."""
+def _cut(window: int, as_words: bool):
+    """Removes the words of the windows from the texts; the layout between kept words stays, or becomes one space."""
+
+    def told(data: bytes) -> str:
+        return (b" ".join(data.split()) if as_words else data).decode("utf-8", "replace")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -176,7 +179,7 @@ def _cut(window: int):
                     total.append(len(data.split()))
                     gone.append(0)
                     spans.append([])
-                    kept.append(data.decode("utf-8", "replace"))
+                    kept.append(told(data))
                     continue
                 first, _ = word_places(data)
                 n = len(first)
@@ -196,15 +199,15 @@ def _cut(window: int):
                 total.append(n)
                 gone.append(int(out.sum()))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(s, e, strict=True) if out[x]])
-                kept.append(b"".join(pieces).decode("utf-8", "replace"))
+                kept.append(told(b"".join(pieces)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string())], ["doc_id", "carry", "n_words", "n_removed", "spans", "kept"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (), as_words: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans (first and last word of each removed run) and kept (the text without
-    them, white space between kept words as it was) for every row of ``docs`` (doc_id, text).
+    them, white space between kept words as it was, or one space ``as_words``) for every row of ``docs`` (doc_id, text).
 
     Removed are the words of every run of ``window`` words that also starts earlier: in a smaller doc_id, or
     before in the same document. Null texts have no words; a text under ``window`` words keeps all. Of rows
@@ -244,13 +247,12 @@ def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...]
     cut = staged(whole.union(later).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "cut")
     drop_staged(single)
     out = located.select("row", "doc_id", "carry", "packed").join(cut, "row", "left").select("doc_id", "carry", "packed", "ranges")
-    out = out.mapInArrow(_cut(window), "doc_id long, carry string, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string")
+    out = out.mapInArrow(_cut(window, as_words), "doc_id long, carry string, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string")
     back = F.from_json("carry", carried)
     return out.select("doc_id", *(back[c].alias(c) for c in carry), "n_words", "n_removed", "spans", "kept")
 
 
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without the words of 20-word windows that also start earlier."""
-    out = repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"), 20)
-    joined = F.regexp_replace(F.regexp_replace("kept", "[ \\t\\n\\x0B\\f\\r]+", " "), "^ | $", "")
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"), "spans")
+    out = repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"), 20, as_words=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "spans")

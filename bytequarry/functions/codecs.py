@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "Codec", "align", "ascii_int", "bind", "bit_list", "bits", "bytes_", "codec", "compressed_int", "decimal96", "flag_names", "flags",
-    "fixed_string", "float32", "float64", "guid", "hexed", "masked", "nul_string", "once", "prefixed_string", "remainder", "signed_low_bit",
+    "fixed_string", "float32", "float64", "guid", "hexed", "masked", "nul_string", "once", "prefixed_string", "remainder", "settled", "signed_low_bit",
     "sint", "timestamp", "uint", "uleb128_list", "version", "where_here",
 ]
 
@@ -46,6 +46,15 @@ def where_here(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.withColumn("_here", F.monotonically_increasing_id()).where(condition & (F.col("_here") >= 0)).drop("_here")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, with the columns so far computed before what is made of them.
+
+    The optimizer moves the expression of a column that is named once to the place of that name, also into the body of
+    a lambda, where it is then computed for every element.
+    """
+    return where_here(rows, F.lit(True))
+
+
 def bytes_(data: Column, offset, size) -> Column:
     """``size`` bytes at ``offset``; null if they are not all there."""
 

@@ -10,8 +10,8 @@ __all__ = ["joined", "pack_compressed", "pack_int", "pack_text", "pack_uleb128"]
 
 def pack_int(value: Column, size: int, big: bool = False) -> Column:
     """The low ``size`` bytes of an integer of up to 64 bits, two's complement."""
-    digits = F.substring(F.lpad(F.hex(value.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size)
-    return F.unhex(digits if big else F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))))
+    data = F.unhex(F.substring(F.lpad(F.hex(value.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size))
+    return data if big or size == 1 else F.encode(F.reverse(F.decode(data, "ISO-8859-1")), "ISO-8859-1")
 
 
 def pack_text(value: Column, size: int | None = None, charset: str = "UTF-8", end: bool = False) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.codecs import bind, once, sint, where_here
 from ..functions.enums import codes, name_of
 from ..functions.layouts import Layout, records
+from .cfb_edit import rewritten
 from .walks import chains, directory_order, sector_table
 
-__all__ = ["cfb_entries", "cfb_fat", "cfb_find", "cfb_header", "cfb_streams"]
+__all__ = ["cfb_changed_sectors", "cfb_entries", "cfb_fat", "cfb_find", "cfb_header", "cfb_streams", "cfb_write"]
 
 HEADER = Layout(
     "magic:b8 id:b16 revision:u16 version:u16 byteorder:u16 sector_shift:u16 mini_shift:u16 _unused:b6 num_directory:u32 num_fat:u32"
@@ -130,3 +131,29 @@ def cfb_streams(images: DataFrame) -> DataFrame:
 
     found = F.filter(F.arrays_zip("entries", "small", "large"), lambda x: x["entries"]["type_code"] == STREAM)
     return df.select("image_id", F.inline(F.transform(found, stream)))
+
+
+def cfb_write(images: DataFrame, updates: DataFrame) -> DataFrame:
+    """image_id and content of all images, with the streams of ``updates`` (image_id, name, data) written.
+
+    A name means the first stream that ``cfb_find`` would give; names that are not there, null names and images without
+    updates change nothing. Null data empty a stream; of several updates of one name the greatest bytes win. Streams move
+    between small and large sectors by their new size; sectors are freed and taken again, and the tables grow. Images are not changed in place:
+    the result is a table, which ``write_images`` saves.
+    """
+    each = updates.where("name is not null").groupBy("image_id", "name").agg(F.max(F.coalesce("data", F.lit(b""))).alias("data"))
+    listed = each.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("name", "data"))).alias("updates"))
+    rows = images.select("image_id", "content").join(listed, "image_id", "left")
+    is_document = F.hex(F.substring("content", 1, 8)) == "D0CF11E0A1B11AE1"
+    rows = rows.withColumn("updates", F.when(is_document, F.col("updates")))
+    return rows.select("image_id", rewritten("content", "updates").alias("content"))
+
+
+def cfb_changed_sectors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """image_id, sector of the sectors, the header as -1, that differ between two versions of a document, new ones included."""
+    new = after.select("image_id", F.col("content").alias("new"))
+    rows = _opened(before).select("image_id", "content", "unit").join(new, "image_id")
+    count = F.ceil(F.length("new") / F.col("unit")).cast("int")
+    part = lambda c, i: F.substring(c, i * F.col("unit") + 1, F.col("unit"))
+    changed = F.filter(F.sequence(F.lit(0), count - 1), lambda i: part(F.col("content"), i) != part(F.col("new"), i))
+    return rows.where(F.length("new") > 0).select("image_id", F.explode(F.transform(changed, lambda i: i - 1)).alias("sector"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bind, bits, bytes_, flag_names, nul_string, once, uint
+from ..functions.codecs import bind, bits, bytes_, flag_names, nul_string, once, settled, uint
 from ..functions.enums import codes, name_of, names
 from ..functions.layouts import Layout, either, records
 
@@ -65,9 +65,9 @@ def elf_segments(images: DataFrame, with_data: bool = False) -> DataFrame:
 
 def _with_sections(images: DataFrame) -> DataFrame:
     """Adds sh, the array of section headers, and names, the bytes of the section name table."""
-    rows = _opened(images).withColumn("sh", _table(SECTION, F.col("content"), F.col("h.e_shoff"), F.col("h.e_shnum"), F.col("big"), F.col("wide")))
+    rows = settled(_opened(images)).withColumn("sh", _table(SECTION, F.col("content"), F.col("h.e_shoff"), F.col("h.e_shnum"), F.col("big"), F.col("wide")))
     own = F.get("sh", F.col("h.e_shstrndx"))["v"]
-    return rows.withColumn("names", bytes_(F.col("content"), own["sh_offset"], own["sh_size"]))
+    return settled(settled(rows).withColumn("names", bytes_(F.col("content"), own["sh_offset"], own["sh_size"])))
 
 
 def elf_sections(images: DataFrame, with_data: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bits, bytes_, flag_names, guid, nul_string, once, uint, uleb128_list, version
+from ..functions.codecs import bits, bytes_, flag_names, guid, nul_string, once, settled, uint, uleb128_list, version
 from ..functions.enums import DOMAINS, codes, name_of
 from ..functions.layouts import Layout, either, records
 from .walks import record_offsets
@@ -139,7 +139,8 @@ def mach_symbols(images: DataFrame) -> DataFrame:
     """image_id, pos, name, type, external, private_external, stab, sect, ref, desc, value of the first symbol table."""
     p, big, wide = F.col("payload"), F.col("big"), F.col("wide")
     first = _commands(images).where("cmd = 2").withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("pos"))).where("rank = 1")
-    rows = first.withColumn("v", once(Layout(PAYLOADS["SYMTAB"]).struct(p, 8, big))).withColumn("heap", once(bytes_(F.col("content"), F.col("v.stroff"), F.col("v.strsize"))))
+    rows = settled(first.withColumn("v", once(Layout(PAYLOADS["SYMTAB"]).struct(p, 8, big))))
+    rows = settled(rows.withColumn("heap", once(bytes_(F.col("content"), F.col("v.stroff"), F.col("v.strsize")))))
 
     def one(t: Column, o: Column, i: Column) -> Column:
         return F.struct(i.alias("pos"), either(wide, SYMBOL, t, o, big).alias("s"))
@@ -157,7 +158,7 @@ def _linked(images: DataFrame, cmd: str) -> DataFrame:
     """image_id, big, data of the first command of a kind that points to a blob."""
     p, big = F.col("payload"), F.col("big")
     rows = _commands(images).where(F.col("cmd") == codes("MACH_CMD")[cmd]).withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("pos"))).where("rank = 1")
-    return rows.select("image_id", "big", once(bytes_(F.col("content"), uint(p, 8, 4, big), uint(p, 12, 4, big))).alias("data"))
+    return settled(rows.select("image_id", "big", once(bytes_(F.col("content"), uint(p, 8, 4, big), uint(p, 12, 4, big))).alias("data")))
 
 
 def mach_function_starts(images: DataFrame) -> DataFrame:

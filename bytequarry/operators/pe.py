@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bind, bytes_, flag_names, nul_string, once, sint, timestamp, uint, where_here
+from ..functions.codecs import bind, bytes_, flag_names, nul_string, once, settled, sint, timestamp, uint, where_here
 from ..functions.enums import codes, name_of, names
 from ..functions.layouts import Layout, records
 from .walks import pointer_lists, resource_leaves
@@ -52,7 +52,7 @@ def opened(images: DataFrame) -> DataFrame:
     rows = rows.withColumn("head", once(F.when(F.col("opt_size") >= head, head))).withColumn("n_dirs", once(uint(c, start + F.col("head") - 4, 4)))
     count = F.least("n_dirs", F.floor((F.col("opt_size") - F.col("head")) / 8))
     table = records(c, start + F.col("head"), count, 8, lambda t, o, i: F.struct(i.alias("pos"), uint(t, o, 4).alias("VirtualAddress"), uint(t, o + 4, 4).alias("Size")))
-    return rows.withColumns({"directories": once(table), "sections": once(_sections(c, start + F.col("opt_size"), F.col("n_sections")))})
+    return settled(rows.withColumns({"directories": once(table), "sections": once(_sections(c, start + F.col("opt_size"), F.col("n_sections")))}))
 
 
 def _sections(data: Column, offset: Column, count: Column) -> Column:
@@ -162,6 +162,7 @@ def pe_exports(images: DataFrame, pair_by_position: bool = False, with_data: boo
     rows = directory_bytes(images, "EXPORT").select("image_id", "content", "sections", once(EXPORTS.struct(F.col("data"))).alias("e"))
     table = lambda f, n, size: once(_words(bytes_at(F.col(f"e.{f}"), F.col(f"e.{n}") * size), F.col(f"e.{n}"), size))
     rows = rows.withColumns({"functions": table("FunctionTable", "NumberEntries", 4), "names": table("NameTable", "NumberNames", 4), "ordinals": table("OrdinalTable", "NumberNames", 2), "dll": once(text_at(F.col("e.DLLName")))})
+    rows = settled(rows)
     rows = rows.withColumn("texts", once(F.transform("names", lambda a: text_at(a))))
     rows = rows.withColumn("places", once(F.transform("functions", lambda a: place_of(a))))
     rows = rows.select("image_id", "dll", F.col("e.OrdinalBase").alias("base"), "functions", "places", F.arrays_zip("ordinals", "texts").alias("named"))

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["chain", "chains", "directory_order", "member_offsets", "pointer_lists", "record_offsets", "resource_leaves", "sector_table"]
+__all__ = ["chain", "chains", "directory_order", "member_offsets", "pointer_lists", "record_offsets", "resource_items", "resource_leaves", "sector_table", "stream_headers"]
 
 
 def _members(content: bytes | None) -> list[int]:
@@ -128,6 +128,62 @@ def _leaves(data: bytes | None) -> list[dict]:
     return out
 
 
+def _streams(root: bytes | None) -> list[dict]:
+    """Headers of metadata streams: offset, size and a name that is padded to four bytes."""
+    out: list[dict] = []
+    if root is None or len(root) < 20:
+        return out
+    at = 16 + int.from_bytes(root[12:16], "little")
+    for _ in range(int.from_bytes(root[at + 2 : at + 4], "little")):
+        end = root.find(b"\0", at + 12)
+        if end < 0:
+            break
+        offset, size = struct.unpack_from("<II", root, at + 4)
+        out.append({"name": root[at + 12 : end].decode("ascii", "replace"), "offset": offset, "size": size})
+        at += 8 + (end - at - 12 + 4) // 4 * 4
+    return out
+
+
+def _items(block: bytes | None) -> list[dict]:
+    """Names and places of the values of a managed resource block; ends where the block does."""
+    if block is None:
+        return []
+    at = 12
+
+    def number(n: int) -> int:
+        nonlocal at
+        at += n
+        if at > len(block):
+            raise EOFError
+        return int.from_bytes(block[at - n : at], "little")
+
+    def text(charset: str) -> str:
+        nonlocal at
+        size, shift = 0, 0
+        while (byte := number(1)) & 0x80:
+            size, shift = size | (byte & 0x7F) << shift, shift + 7
+        size |= byte << shift
+        at += size
+        if at > len(block):
+            raise EOFError
+        return block[at - size : at].decode(charset, "replace")
+
+    out: list[dict] = []
+    try:
+        text("utf-8"), text("utf-8"), number(4)
+        count = number(4)
+        for _ in range(number(4)):
+            text("utf-8")
+        at += -at % 8 + 8 * count
+        start = number(4)
+        for _ in range(count):
+            name = text("utf-16le")
+            out.append({"name": name, "at": start + number(4)})
+    except EOFError:
+        pass
+    return out
+
+
 _LONGS = T.ArrayType(T.LongType())
 # All are marked so that no projection above repeats them or moves them into a lambda, where no UDF can run.
 #: Pointers of a width from each file offset up to the first zero, signed: content, offsets, bytes there, width.
@@ -146,3 +202,7 @@ chains = F.udf(_chains, T.ArrayType(T.ArrayType(T.IntegerType())), useArrow=True
 sector_table = F.udf(_sector_table, T.ArrayType(T.IntegerType()), useArrow=True).asNondeterministic()
 #: Place in the walk (node, left, right, children) and path of each entry: names, left, right and child ids.
 directory_order = F.udf(_directory_order, T.ArrayType(T.StructType([T.StructField("visit", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))])), useArrow=True).asNondeterministic()
+#: Metadata streams of a CLR root.
+stream_headers = F.udf(_streams, T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType())])), useArrow=True).asNondeterministic()
+#: Entries of a managed resource block: name and place of the value.
+resource_items = F.udf(_items, T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("at", T.LongType())])), useArrow=True).asNondeterministic()

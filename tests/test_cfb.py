@@ -55,3 +55,27 @@ def test_cycle_ends(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "image_id string, content binary")
     assert cfb.cfb_entries(df).count() == cfb.cfb_streams(df).count() == 0
+
+
+def test_write(spark):
+    """Streams grow, shrink and move between both kinds of sectors; everything else stays as it was."""
+    big, small = bytes(i * 7 % 251 for i in range(5555)), bytes(range(170))
+    image = document(big, small)
+    df = spark.createDataFrame([("d", bytearray(image)), ("same", bytearray(image)), ("x", bytearray(b"zz")), ("n", None)], "image_id string, content binary")
+    schema = "image_id string, name string, data binary"
+    for new_small, new_big, new_none in ((b"", b"q" * 100, bytes(range(256)) * 40), (b"y" * 9000, big + big, b"z"), (small[:65], b"", b"k" * 300_000), (bytes(4095), bytes(4096), b"w" * 64)):
+        updates = spark.createDataFrame([("d", "small", bytearray(new_small)), ("d", "Große", bytearray(new_big)), ("d", "none", bytearray(new_none)), ("d", "absent", bytearray(b"1")), ("x", "small", bytearray(b"1")), ("d", None, None)], schema)
+        out = cfb.cfb_write(df, updates).persist()
+        content = {r.image_id: None if r.content is None else bytes(r.content) for r in out.collect()}
+        assert content["same"] == image and content["x"] == b"zz" and content["n"] is None and len(content["d"]) % 512 == 0
+        got = {(r.image_id, r.name): bytes(r.data) for r in cfb.cfb_streams(out).collect()}
+        assert (got["d", "small"], got["d", "Große"], got["d", "none"]) == (new_small, new_big, new_none) and got["same", "small"] == small
+        fat = {r.id: r.next for r in cfb.cfb_fat(out.where("image_id = 'd'")).where("not mini").collect()}
+        used = [x for x in fat.values() if x >= 0]
+        assert len(used) == len(set(used))  # no sector has two leaders
+        again = cfb.cfb_write(out, spark.createDataFrame([("d", "small", bytearray(small)), ("d", "Große", bytearray(big)), ("d", "none", None)], schema))
+        assert {r.name: bytes(r.data) for r in cfb.cfb_streams(again).where("image_id = 'd'").collect()} == {"small": small, "Große": big, "none": b""}
+        changed = {r.sector for r in cfb.cfb_changed_sectors(df, out).collect()}
+        a, b = image, content["d"]
+        assert changed == {i - 1 for i in range(len(b) // 512) if a[512 * i : 512 * i + 512] != b[512 * i : 512 * i + 512]}
+        out.unpersist()

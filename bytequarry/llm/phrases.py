@@ -14,7 +14,7 @@ occurrence of blocks whose anchor has several different blocks are single window
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -164,43 +164,50 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
 
 
-def _cut(window: int, as_words: bool):
-    """Removes the words of the windows from the texts; the layout between kept words stays, or becomes one space."""
+def gone(ranges: list[dict], words: int, window: int) -> np.ndarray:
+    """Of each word whether a window of the ranges covers it."""
+    change = np.zeros(words + 1, np.int64)
+    for x in ranges:
+        change[x["s"]] += 1
+        change[x["s"] + x["n"] + window - 1] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def without(data: bytes, out: np.ndarray) -> bytes:
+    """The text without the words that are out; the layout between kept words stays."""
+    first, _ = word_places(data)
+    edge, pieces, at = np.append(first, len(data)), [], 0
+    for x, y in zip(*runs(out), strict=True):
+        if out[x]:
+            pieces.append(data[at : edge[x]])
+            at = int(edge[y])
+    return b"".join([*pieces, data[at:]])
 
-    def told(data: bytes) -> str:
-        return (b" ".join(data.split()) if as_words else data).decode("utf-8", "replace")
+
+def _cut(window: int, as_words: bool):
+    """Removes the words of the windows from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            total, gone, spans, kept = [], [], [], []
+            total, lost, spans, kept = [], [], [], []
             for packed, ranges in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = unpack_text(packed)
-                if not ranges:
-                    total.append(len(data.split()))
-                    gone.append(0)
-                    spans.append([])
-                    kept.append(told(data))
-                    continue
-                first, _ = word_places(data)
-                n = len(first)
-                change = np.zeros(n + 1, np.int64)
-                for x in ranges:
-                    change[x["s"]] += 1
-                    change[x["s"] + x["n"] + window - 1] -= 1
-                out = np.cumsum(change[:-1]) > 0
-                s, e = runs(out)
-                edge = np.append(first, len(data))
-                pieces, at = [], 0
-                for x, y in zip(s, e, strict=True):
-                    if out[x]:
-                        pieces.append(data[at : edge[x]])
-                        at = int(edge[y])
-                pieces.append(data[at:])
-                total.append(n)
-                gone.append(int(out.sum()))
-                spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(s, e, strict=True) if out[x]])
-                kept.append(told(b"".join(pieces)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string())], ["doc_id", "carry", "n_words", "n_removed", "spans", "kept"])
+                words = data.split()
+                out = gone(ranges, len(words), window) if ranges else None
+                total.append(len(words))
+                lost.append(0 if out is None else int(out.sum()))
+                spans.append([] if out is None else [{"first": int(x), "last": int(y) - 1} for x, y in zip(*runs(out), strict=True) if out[x]])
+                if as_words:
+                    data = b" ".join(words if out is None else compress(words, ~out))
+                elif out is not None:
+                    data = without(data, out)
+                kept.append(data)
+            texts = pa.array(kept, pa.binary())
+            try:
+                texts = texts.cast(pa.string())
+            except pa.ArrowInvalid:  # text that is no UTF-8
+                texts = pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, SPANS), texts], ["doc_id", "carry", "n_words", "n_removed", "spans", "kept"])
 
     return run
 

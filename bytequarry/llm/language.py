@@ -47,22 +47,37 @@ def grams(text: str) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        x = [grams(t).astype("<u2").tobytes() if LETTER.search(t) else None for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["lang", "x"])
+        x = [grams(t).astype("<u2").tobytes() if LETTER.search(t) else None for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["order", "lang", "x"])
 
 
-def fit(rows: list[np.ndarray], langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix (n-gram, language) of scores for presence rows of length one."""
-    names = sorted(set(langs))
+def presence(rows: list[np.ndarray]) -> np.ndarray:
+    """Presence vectors of length one, a row for each text."""
     x = np.zeros((len(rows), SPACE), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1 / np.sqrt(len(r))
-    step = max(1, len(rows) // LANDMARKS)
-    order = np.argsort(langs, kind="stable")  # every language gives landmarks
-    marks = x[order[::step]]
+    return x
+
+
+def landmarks(langs: list[str]) -> np.ndarray:
+    """Positions of the landmarks: as many of each language, at least one."""
+    names = sorted(set(langs))
+    each = max(1, LANDMARKS // len(names))
+    of = np.array(langs)
+    own = [np.flatnonzero(of == n) for n in names]
+    return np.concatenate([x[np.unique(np.linspace(0, len(x) - 1, min(each, len(x))).astype(np.int64))] for x in own])
+
+
+def fit(rows: list[np.ndarray], langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Languages and the matrix (n-gram, language) of scores for presence rows of length one.
+
+    Only the landmarks stand in memory as whole rows; the sample's kernel values are computed in blocks.
+    """
+    names = sorted(set(langs))
+    marks = presence([rows[i] for i in landmarks(langs)])
     own, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(own, 1e-6)) @ vectors.T
-    phi = (x @ marks.T).astype(np.float64) @ root
+    phi = np.concatenate([(presence(rows[lo : lo + 256]) @ marks.T).astype(np.float64) for lo in range(0, len(rows), 256)]) @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     share = np.sqrt(len(langs) / (len(names) * np.maximum(1, (y > 0).sum(axis=0))))[y.argmax(axis=1)][:, None]  # languages weigh alike
     w = np.linalg.solve((phi * share).T @ (phi * share) + RIDGE * np.eye(phi.shape[1]), (phi * share).T @ (y * share))
@@ -71,14 +86,16 @@ def fit(rows: list[np.ndarray], langs: list[str]) -> tuple[list[str], np.ndarray
 
 def train_languages(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Fits on about ``sample`` documents of each language of ``docs`` (doc_id, text, lang), chosen by a hash of
-    doc_id; all languages count. Null texts, texts without a letter and null languages are not learnt from."""
+    doc_id; all languages count. Null texts, texts without a letter and null languages are not learnt from. At most twice
+    the sample, the first by that hash, reaches the driver."""
     docs = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not counts:
         return [], np.zeros((SPACE, 0), np.float32)
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) <= share * float(1 << 24)).select("lang", "text")
-    rows = [r for r in chosen.mapInArrow(_features, "lang string, x binary").limit(2 * sample * len(counts)).collect() if r["x"]]
+    chosen = docs.withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))).where(F.col("order") <= share * float(1 << 24)).select("order", "lang", "text")
+    found = chosen.mapInArrow(_features, "order long, lang string, x binary").where("x is not null")
+    rows = found.orderBy("order", "lang", "x").limit(2 * sample * len(counts)).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not rows:
         return [], np.zeros((SPACE, 0), np.float32)
@@ -117,11 +134,15 @@ def has_letter(texts: pd.Series) -> pd.Series:
 
 
 def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score instead of the last column, the text, or after it.
+    """The rows of ``docs`` with lang_pred and score instead of the last column, the text, or after it; other columns
+    of these two names are refused.
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or nothing was learnt. Whole texts
     are scored, whatever other columns hold; repeated rows score alike. No rows give no rows.
     """
+    clash = {"lang_pred", "score"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     value = docs.sparkSession.sparkContext.broadcast(model)  # one column per language, SPACE rows
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: None if keep_text else -1])
     return docs.mapInArrow(_score(value, keep_text), f"{fields}, lang_pred string, score double")

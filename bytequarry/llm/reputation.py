@@ -8,6 +8,7 @@ posterior exceeds the tolerated share. Everything is DataFrame expressions; coun
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ __all__ = ["RULES", "host_reputation", "judge_urls", "url_parts", "op6_reputatio
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Suffixes of two labels; every other host's suffix is its last label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.in", "com.br", "com.cn", "com.mx", "co.za", "github.io")
+#: IPv4 and bracketed IPv6 addresses.
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*)$"
 #: Tolerated share of bad pages, and the standard deviations of the posterior bound.
 TOLERATED, Z = 0.25, 1.645
 #: Least and most strength of a prior, in pages.
@@ -44,12 +47,12 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array_compact(F.array(*each)))
 
 
-def _domain(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix, without port."""
+def _domain(host: Column, long_suffixes: Sequence[str]) -> tuple[Column, Column]:
+    """Registered domain and public suffix, without port; an address is its own domain and suffix."""
     name = F.regexp_replace(host, ":[0-9]*$", "")
     two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
-    long_ = two.isin(*LONG_SUFFIXES)
-    return F.when(long_, three).otherwise(two), F.when(long_, two).otherwise(F.substring_index(name, ".", -1))
+    long_, address = two.isin(*long_suffixes), name.rlike(ADDRESS)
+    return F.when(address, name).when(long_, three).otherwise(two), F.when(address, name).when(long_, two).otherwise(F.substring_index(name, ".", -1))
 
 
 def _strength(level: DataFrame) -> float:
@@ -60,9 +63,11 @@ def _strength(level: DataFrame) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho and rho > 0 else STRONGEST
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """host, domain, suffix, n, k, mean, bound for each host of ``outcomes`` (host, bad); rows with null bad count as unlabelled."""
-    domain, suffix = _domain(F.col("host"))
+def host_reputation(outcomes: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
+    """host, domain, suffix, n, k, mean, bound for each host of ``outcomes`` (host, bad); rows with null bad count as unlabelled.
+
+    ``long_suffixes``: the public suffixes of two labels; the default list holds common ones only."""
+    domain, suffix = _domain(F.col("host"), long_suffixes)
     hosts = staged(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     total, bad = hosts.agg(F.sum("n"), F.sum("k")).first()
     mean = ((bad or 0) + 0.5) / ((total or 0) + 5.0)
@@ -78,7 +83,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "domain", "suffix", "n", "k", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, tolerated: float = TOLERATED) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, tolerated: float = TOLERATED, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
     A page is labelled by the rows of ``labels`` (doc_id, quality, toxic) with its id: bad if any is toxic or
@@ -89,7 +94,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, tolerated: floa
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.col("toxic") == 1, F.col("quality") == 0)).alias("bad"))
     host, path = url_parts(F.col("url"))
     parted = pages.select("page_id", host.alias("host"), path.alias("path"))
-    reputation = host_reputation(parted.select("page_id", "host").join(bad, "page_id", "left").select("host", "bad"))
+    reputation = host_reputation(parted.select("page_id", "host").join(bad, "page_id", "left").select("host", "bad"), long_suffixes)
     judged = parted.withColumn("r", fitting_rule(F.col("host"), F.col("path"), rules)).join(reputation.select("host", "bound"), "host", "left")
     own = F.when(F.col("bound") > tolerated, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"))
@@ -113,8 +118,8 @@ parted AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{ascii_u
 bad AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 counts AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM parted LEFT JOIN bad USING (page_id) GROUP BY 1),
 pieces AS (SELECT *, string_split(name, '.') AS l FROM counts),
-named AS (SELECT host, n, k, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM pieces),
-hosts AS (SELECT host, n, k, CASE WHEN two IN ({_LIST}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_LIST}) THEN two ELSE one END AS suf FROM named),
+named AS (SELECT host, n, k, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name END AS own, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM pieces),
+hosts AS (SELECT host, n, k, coalesce(own, CASE WHEN two IN ({_LIST}) THEN three ELSE two END) AS domain, coalesce(own, CASE WHEN two IN ({_LIST}) THEN two ELSE one END) AS suf FROM named),
 s0 AS (SELECT suf, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 5.0) FROM hosts) AS mu FROM hosts GROUP BY 1),
 s1 AS (SELECT suf, (k + s * mu) / (n + s) AS mu FROM s0, (SELECT {_LEVEL.format(low=WEAKEST, high=STRONGEST, table="s0")} AS s)),
 d0 AS (SELECT suf, domain, h.n, h.k, mu FROM (SELECT suf, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2) h JOIN s1 USING (suf)),

@@ -1,11 +1,11 @@
 import duckdb
 
-from bytequarry.llm.reputation import OP6_SQL, RULES, judge_urls
+from bytequarry.llm.reputation import OP6_SQL, RULES, host_reputation, judge_urls
 
 
 def pages():
     out = [(i, f"http://{h}.example.{s}/{p}/{i}") for i, (h, s, p) in enumerate((h, s, p) for h in ("a", "b", "WWW", "c.d") for s in ("org", "net", "com", "co.uk") for p in ("en", "es", "x") for _ in range(4))]
-    odd = [None, "", "no scheme", "://", "http://", "http://com", "http://com/", "https://Example.COM/en/1?x=://y", "http://example.com:80/en/", "http://xexample.com/en/", "ftp://www.example.com/en/#f", "http://net/es/", "http://é.NET/fr/x", "a://b/c/d?e#f/g", "http://h#/en/", "http://1.2.3.4/en/"]
+    odd = [None, "", "no scheme", "://", "http://", "http://com", "http://com/", "https://Example.COM/en/1?x=://y", "http://example.com:80/en/", "http://xexample.com/en/", "ftp://www.example.com/en/#f", "http://net/es/", "http://é.NET/fr/x", "a://b/c/d?e#f/g", "http://h#/en/", "http://1.2.3.4/en/", "http://9.9.3.4:81/x", "http://[::1]:8/x", "http://1.2.3/y"]
     return out + [(500 + i, u) for i, u in enumerate(odd)] + [(None, "http://a.example.org/1"), (3, "http://a.example.org/en/3")]
 
 
@@ -40,3 +40,39 @@ def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), labels).collect() == []
     assert [tuple(r) for r in judge_urls(spark.createDataFrame([(1, None)], "page_id long, url string"), labels).collect()] == [(1, "", "", None, "allow")]
+
+
+def test_addresses_and_suffixes_are_their_own(spark):
+    hosts = [("a.b.co.uk", 1), ("1.2.3.4:80", 0), ("9.9.3.4", 1), ("[::1]:8", 1), ("x.y.zz", 0)]
+    df = spark.createDataFrame(hosts, "host string, bad int")
+    of = lambda rows: {r.host: (r.domain, r.suffix) for r in rows.collect()}
+    got = of(host_reputation(df))
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "9.9.3.4": ("9.9.3.4", "9.9.3.4"), "[::1]:8": ("[::1]", "[::1]"), "x.y.zz": ("y.zz", "zz")}
+    assert of(host_reputation(df, ["y.zz"]))["x.y.zz"] == ("x.y.zz", "y.zz")
+
+
+def test_posterior_by_hand(spark):
+    """Shares shrink from suffix to domain to host; computed once more in plain Python."""
+    counts = {"a.x.org": (20, 9), "b.x.org": (4, 0), "c.y.org": (10, 1), "d.z.net": (30, 25), "e.z.net": (6, 1)}
+    rows = [(h, int(i < k)) for h, (n, k) in counts.items() for i in range(n)]
+
+    def strength(level):
+        extra = sum((k - n * m) ** 2 / (m * (1 - m)) for n, k, m in level) - sum(n for n, _, _ in level)
+        rho = extra / sum(n * (n - 1) for n, _, _ in level)
+        return min(1000.0, max(1.0, 1 / rho - 1)) if rho > 0 else 1000.0
+
+    def added(keys):
+        out = {}
+        for h, (n, k) in counts.items():
+            a, b = out.get(keys(h), (0, 0))
+            out[keys(h)] = a + n, b + k
+        return out
+
+    mean = {"": (sum(k for _, k in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 5)}
+    for keys, up in ((lambda h: h.rsplit(".", 1)[1], lambda x: ""), (lambda h: h.split(".", 1)[1], lambda x: x.rsplit(".", 1)[1]), (lambda h: h, lambda x: x.split(".", 1)[1])):
+        level = added(keys)
+        s = strength([(n, k, mean[up(x)]) for x, (n, k) in level.items()])
+        mean |= {x: (k + s * mean[up(x)]) / (n + s) for x, (n, k) in level.items()}
+    for r in host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect():
+        m, size = mean[r.host], counts[r.host][0] + s
+        assert abs(r["mean"] - m) < 1e-9 and abs(r.bound - (m - 1.645 * (m * (1 - m) / (size + 1)) ** 0.5)) < 1e-9

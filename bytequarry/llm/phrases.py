@@ -232,6 +232,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...]
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
     anchors = parsed.select(shard, F.inline("anchors"))
     confirmed = anchors.groupBy("hash", "phrase").agg(F.sum("c").alias("c")).where("c > 1").select("hash", "phrase")
+    confirmed = staged(confirmed, "confirmed")  # each step's shuffle is gone before the next begins
     none = F.lit(None)
     phrases = anchors.select("shard", "hash").join(confirmed, "hash").select("shard", F.lit(0).cast("tinyint").alias("kind"), "hash", none.cast("long").alias("row"), none.cast("long").alias("doc_id"), none.cast("string").alias("carry"), F.col("phrase").alias("packed"))
     phrases = staged(phrases, "phrases")
@@ -239,6 +240,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...]
     dealt = phrases.union(texts).repartition(width(spark, size), "shard").sortWithinPartitions("shard", "kind")
     located = staged(dealt.mapInArrow(_locate(window, phrase), LOCATED), "located")
     drop_staged(phrases)
+    drop_staged(confirmed)
     drop_staged(parsed)
 
     found = located.where(F.size("blocks") > 0).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row", F.inline("blocks"))
@@ -251,8 +253,11 @@ def repeated_passages(docs: DataFrame, window: int = 20, carry: tuple[str, ...]
     single = staged(single.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, row long, s long"), "windows")
     earliest = single.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     later = single.join(earliest, ["h1", "h2"]).where(place != F.col("first")).select("row", F.col("s").cast("int"), F.lit(1).alias("n"))
-    cut = staged(whole.union(later).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "cut")
+    later = staged(later, "later")
     drop_staged(single)
+    cut = staged(whole.union(later).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "cut")
+    drop_staged(first)
+    drop_staged(later)
     out = located.select("row", "doc_id", "carry", "packed").join(cut, "row", "left").select("doc_id", "carry", "packed", "ranges")
     out = out.mapInArrow(_cut(window, as_words), "doc_id long, carry string, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string")
     back = F.from_json("carry", carried)

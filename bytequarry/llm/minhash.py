@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_B, lower_words, mix64, pack_text, read, shingle_set, slices, staged, unpack_text, width
+from .common import MIX_B, drop_staged, lower_words, mix64, pack_text, read, shingle_set, slices, staged, unpack_text, width
 from .graph import components
 
 __all__ = ["near_duplicates", "op1_minhash"]
@@ -237,11 +237,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     frequent = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     of_class = posted.join(frequent, "key").groupBy("cls").agg(F.collect_list(F.struct("df", "key")).alias("p"), F.sum("df").alias("score")).where(F.size("p") >= need)
     rare = F.slice(F.array_sort("p"), F.lit(1), F.size("p") - (coordinates - prefix))
-    member = staged(of_class.select("cls", "score", F.explode(rare).alias("x")).select("cls", "score", F.col("x.key").alias("key")), "prefixes")
+    prefixes = staged(of_class.select("cls", "score", F.explode(rare).alias("x")).select("cls", "score", F.col("x.key").alias("key")), "prefixes")
     sums = [F.sum(F.xxhash64(F.lit(i), "cls").cast("decimal(38,0)")).alias(f"same{i}") for i in (1, 2)]
-    postings = member.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    postings = prefixes.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
     postings = postings.groupBy("n", "same1", "same2").agg(F.min("key").alias("key")).select("key", "n")  # postings with equal members count once
-    member = staged(member.join(postings, "key"), "postings")
+    member = staged(prefixes.join(postings, "key"), "postings")
     wanted = member.select("cls").distinct().join(classes.select("cls", F.col("rep.row").alias("row"), "sig"), "cls")
     texts = staged(signed.select("row", "packed").join(wanted, "row").select("cls", "packed", "sig"), "texts")
     rule = _Rule(texts, shingle, percent, need)
@@ -252,6 +252,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     if not large.isEmpty():
         links = staged(links.union(_large(large, rule)), "links")
     labels = components(links, "a", "b")
+    for x in (prefixes, member, texts, links):
+        drop_staged(x)
     of_node = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = of_node.groupBy("comp").agg(F.min("rep").alias("lead"))
     of_class = of_node.join(smallest, "comp").select("cls", "lead")

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bind, once, sint, where_here
+from ..functions.codecs import bind, once, settled, sint, uint, where_here
 from ..functions.enums import codes, name_of
 from ..functions.layouts import Layout, records
 from .cfb_edit import rewritten
-from .walks import chains, directory_order, sector_table
+from .walks import chains, directory_order
 
 __all__ = ["cfb_changed_sectors", "cfb_entries", "cfb_fat", "cfb_find", "cfb_header", "cfb_streams", "cfb_write"]
 
@@ -49,15 +49,34 @@ def _ids(table: Column) -> Column:
     return records(table, F.lit(0), F.floor(F.length(table) / 4), 4, lambda t, o, i: sint(t, o, 4))
 
 
+def _table_lists(data: Column, unit: Column, first: Column, count: Column) -> Column:
+    """The chain of sectors that list further sectors of the table: each ends in the id of the next, up to ``count`` and to an id met before."""
+
+    def step(met: Column, _: Column) -> Column:
+        following = F.when(F.size(met) == 0, first).otherwise(uint(data, (F.element_at(met, -1) + 2) * unit - 4, 4))
+        more = lambda n: F.when(~F.array_contains(met, n) & ((n + 2) * unit <= F.length(data)), F.concat(met, F.array(n))).otherwise(met)
+        return F.get(F.transform(F.array(following.cast("bigint")), more), F.lit(0))
+
+    most = F.least(count, F.floor(F.length(data) / unit)).cast("int")
+    return F.when(most > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.array().cast("array<bigint>"), step)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _tables(images: DataFrame) -> DataFrame:
-    """``_opened`` with the sector ids of both tables, directory entries and mini_data (the stream that holds small sectors).
+    """``_opened`` with fat (the bytes of the sector table), the sector ids of both tables and the directory entries.
 
-    The Arrow helpers are given plain columns only: the optimizer would otherwise leave lambdas in their arguments.
+    The Arrow helpers are given plain columns only: the optimizer would otherwise leave lambdas in their arguments. They get
+    the tables, of which a document has 4 bytes a sector, and never the content.
     """
     c = F.col
     df = where_here(_opened(images), c("unit").isNotNull() & c("mini").isNotNull() & c("h.num_difat").isNotNull())
-    df = df.withColumn("difat", sector_table("content", "unit", "h.first_difat", "h.num_difat"))
-    df = df.withColumn("roots", _chains("unit", "difat", F.array(c("h.first_directory"), c("h.first_mini")), F.array(F.lit(ANY - 1), F.lit(ANY - 1)), F.lit(0), F.lit(ANY), F.lit(1)))
+    df = df.withColumn("lists", once(_table_lists(c("content"), c("unit"), c("h.first_difat"), c("h.num_difat"))))
+    listed = F.filter(_ids(_joined(c("content"), c("lists"), 1, c("unit"), "F")), lambda _, i: (i + 1) % F.floor(c("unit") / 4) != 0)
+    own = F.when(F.length("content") >= 512, _ids(F.substring("content", 77, 436))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("ids", once(F.concat(own, listed)))
+    last = F.array_position(F.reverse(F.transform("ids", lambda i: i != -1)), True)  # ids of -1 at the end are none
+    df = df.withColumn("difat", once(F.slice("ids", F.lit(1), F.when(last > 0, F.size("ids") - last + 1).otherwise(0).cast("int")))).drop("lists", "ids")
+    df = settled(df.withColumn("fat", once(_joined(c("content"), c("difat"), 1, c("unit"), "F"))))
+    df = df.withColumn("roots", _chains("fat", F.array(c("h.first_directory"), c("h.first_mini")), F.array(F.lit(ANY - 1), F.lit(ANY - 1)), F.lit(0), F.lit(ANY), F.lit(1)))
     df = df.withColumn("directory", _joined(c("content"), F.get("roots", F.lit(0)), 1, c("unit"), "0"))
 
     def entry(t: Column, o: Column, i: Column) -> Column:
@@ -73,9 +92,9 @@ def _tables(images: DataFrame) -> DataFrame:
     return df.withColumn("mini_table", F.slice(mini, F.lit(1), F.least(F.size(mini).cast("long"), c("h.num_mini")).cast("int")))
 
 
-def _chains(unit: str, ids: str, starts: Column | str, sizes: Column | str, low: Column, high: Column, piece: Column) -> Column:
+def _chains(table: str, starts: Column | str, sizes: Column | str, low: Column, high: Column, piece: Column) -> Column:
     starts, sizes = (F.col(x) if isinstance(x, str) else x for x in (starts, sizes))
-    return chains("content", unit, ids, starts.cast("array<long>"), sizes.cast("array<long>"), low.cast("long"), high.cast("long"), piece.cast("long"))
+    return chains(table, starts.cast("array<long>"), sizes.cast("array<long>"), low.cast("long"), high.cast("long"), piece.cast("long"))
 
 
 def _cut(data: Column, size: Column) -> Column:
@@ -118,10 +137,13 @@ def cfb_streams(images: DataFrame) -> DataFrame:
     """image_id, idx, name, size, data of each stream; one below the cutoff lies in small sectors. Missing bytes are zero
     inside a chain, and absent where the chain ends early."""
     c, cutoff = F.col, F.col("h.mini_cutoff")
-    df = _tables(images).withColumn("large", _chains("unit", "difat", "entries.start", "entries.size", cutoff, F.lit(ANY), c("unit")))
-    df = df.withColumn("small", _chains("unit", "mini_table", "entries.start", "entries.size", F.lit(0), cutoff, c("mini")))
+    df = settled(_tables(images).withColumn("mini_fat", once(_joined(c("content"), c("mini_table"), 1, c("unit"), "F"))))
     root = F.get("entries", F.lit(0))
-    df = df.withColumn("root", F.get(_chains("unit", "difat", F.array(root["start"]), F.array(root["size"]), F.lit(0), F.lit(ANY), c("unit")), F.lit(0)))
+    large = _chains("fat", "entries.start", "entries.size", cutoff, F.lit(ANY), c("unit"))
+    small = _chains("mini_fat", "entries.start", "entries.size", F.lit(0), cutoff, c("mini"))
+    of_root = _chains("fat", F.array(root["start"]), F.array(root["size"]), F.lit(0), F.lit(ANY), c("unit"))
+    df = df.select("*", large.alias("large"), small.alias("small"), of_root.alias("of_root"))  # together, so that one worker walks them all
+    df = df.withColumn("root", F.get("of_root", F.lit(0)))
     df = df.withColumn("mini_data", _cut(_joined(c("content"), c("root"), 1, c("unit"), "0"), root["size"]))
 
     def stream(x: Column) -> Column:

@@ -1,6 +1,9 @@
+import re
 import struct
 
 from bytequarry.operators import cfb
+from bytequarry.operators.cfb_edit import _rewritten
+from bytequarry.operators.walks import _sector_table
 
 FREE, END = -1, -2
 
@@ -79,3 +82,27 @@ def test_write(spark):
         a, b = image, content["d"]
         assert changed == {i - 1 for i in range(len(b) // 512) if a[512 * i : 512 * i + 512] != b[512 * i : 512 * i + 512]}
         out.unpersist()
+
+
+def test_workers_get_tables_not_contents(spark):
+    """A batch holds thousands of images: what Python gets of each must be far smaller than the image."""
+    df = spark.createDataFrame([("d", bytearray(document(b"a" * 5000, b"b")))], "image_id string, content binary")
+    for out, most in ((cfb.cfb_streams(df), 2), (cfb.cfb_entries(df), 2)):
+        calls = re.findall(r"ArrowEvalPython \[(.*?)\)#", out._jdf.queryExecution().optimizedPlan().toString())
+        assert 0 < len(calls) <= most and not any("content#" in x for x in calls)
+
+
+def test_table_beyond_the_header(spark):
+    """The 109 ids in the header list 7 MB; the others are in a chain of sectors, which may be cut or run in a circle."""
+    data = bytes(i * 11 % 253 for i in range(253)) * 40_000
+    image = _rewritten(document(b"x" * 5000, b"y"), [{"name": "none", "data": data}])
+    first, count = struct.unpack_from("<II", image, 68)
+    circle, cut = bytearray(image), image[: (first + 1) * 512]
+    struct.pack_into("<I", circle, (first + 2) * 512 - 4, first)
+    struct.pack_into("<I", circle, 72, 5)
+    df = spark.createDataFrame([("d", bytearray(image)), ("circle", circle), ("cut", bytearray(cut))], "image_id string, content binary")
+    assert count == 1
+    got = {r.image_id: r.difat for r in cfb._tables(df).select("image_id", "difat").collect()}
+    assert got == {k: _sector_table(bytes(v), 512, first, n) for k, v, n in (("d", image, 1), ("circle", circle, 5), ("cut", cut, 1))} and len(got["d"]) > 109
+    streams = {(r.image_id, r.name): bytes(r.data) for r in cfb.cfb_streams(df).collect()}
+    assert streams["d", "none"] == streams["circle", "none"] == data and streams["d", "small"] == b"y"

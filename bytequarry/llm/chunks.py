@@ -90,15 +90,12 @@ def join_ids(enc: Encoder, data: bytes, borders: list[int], ids: list[np.ndarray
     """The ids of the text from those of its segments, which lie between the borders."""
     if len(ids) < 2:
         return ids[0] if ids else np.zeros(0, np.uint32)
-    ends = [lo + np.cumsum(enc.lengths[x]) for lo, x in zip(borders[:-1], ids, strict=True)]
+    all_ids = np.concatenate(ids)
+    all_ends = np.cumsum(enc.lengths[all_ids])
 
     def agrees(place: int) -> bool:
         """Whether a token of the segments ends at the place."""
-        if place in (0, len(data)):
-            return True
-        k = int(np.searchsorted(borders, place, side="left")) - 1
-        i = int(np.searchsorted(ends[k], place))
-        return i < len(ends[k]) and ends[k][i] == place
+        return place in (0, len(data)) or all_ends[all_ends.searchsorted(place)] == place
 
     holes: list[list[int]] = []
     for joint in borders[1:-1]:
@@ -113,10 +110,10 @@ def join_ids(enc: Encoder, data: bytes, borders: list[int], ids: list[np.ndarray
             holes[-1][1] = max(hi, holes[-1][1])
         else:
             holes.append([lo, hi])
-    all_ids, all_ends, out, at = np.concatenate(ids), np.concatenate(ends), [], 0
+    out, at = [], 0
     for lo, hi in holes:
-        out += [all_ids[at : np.searchsorted(all_ends, lo, side="right")], enc.encode(data[lo:hi])]
-        at = int(np.searchsorted(all_ends, hi, side="right"))
+        out += [all_ids[at : all_ends.searchsorted(lo, side="right")], enc.encode(data[lo:hi])]
+        at = int(all_ends.searchsorted(hi, side="right"))
     return np.concatenate([*out, all_ids[at:]])
 
 

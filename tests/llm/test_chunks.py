@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from test_packing import TEXTS
@@ -43,6 +44,16 @@ def test_joints_at_any_place():
             assert join_ids(enc, data, borders, ids).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_many_joints_take_linear_time():
+    """Each joint is looked up in sorted arrays; nothing as long as the text is built for one joint."""
+    enc, word = encoder(vocabulary_file()), b"joints of many"
+    data = word * 20_000
+    began = time.process_time()
+    got = join_ids(enc, data, list(range(0, len(data) + 1, len(word))), [enc.encode(word)] * 20_000)
+    assert time.process_time() - began < 10
+    assert got.tolist() == enc.encode(data).tolist()
+
+
 def test_cuts_follow_the_content():
     r = random.Random(1)
     middle = "".join(r.choice("abcdefgh é") for _ in range(9000)).encode()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codecs import bind, once, settled, sint, uint, where_here
 from ..functions.enums import codes, name_of
@@ -168,7 +169,7 @@ def cfb_write(images: DataFrame, updates: DataFrame) -> DataFrame:
     rows = images.select("image_id", "content").join(listed, "image_id", "left")
     is_document = F.hex(F.substring("content", 1, 8)) == "D0CF11E0A1B11AE1"
     rows = rows.withColumn("updates", F.when(is_document, F.col("updates")))
-    return rows.select("image_id", rewritten("content", "updates").alias("content"))
+    return rows.groupBy("image_id").applyInArrow(rewritten, T.StructType([rows.schema["image_id"], T.StructField("content", T.BinaryType())]))
 
 
 def cfb_changed_sectors(before: DataFrame, after: DataFrame) -> DataFrame:

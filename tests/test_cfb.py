@@ -106,3 +106,14 @@ def test_table_beyond_the_header(spark):
     assert got == {k: _sector_table(bytes(v), 512, first, n) for k, v, n in (("d", image, 1), ("circle", circle, 5), ("cut", cut, 1))} and len(got["d"]) > 109
     streams = {(r.image_id, r.name): bytes(r.data) for r in cfb.cfb_streams(df).collect()}
     assert streams["d", "none"] == streams["circle", "none"] == data and streams["d", "small"] == b"y"
+
+
+def test_writing_holds_one_document(spark):
+    """Documents reach the workers by groups of one id, not thousands in a batch; equal ids and null ids stay rows of their own."""
+    image = document(b"a" * 5000, b"b")
+    df = spark.createDataFrame([("d", bytearray(image)), ("d", bytearray(image)), (None, bytearray(image)), (None, None)], "image_id string, content binary")
+    out = cfb.cfb_write(df, spark.createDataFrame([("d", "small", bytearray(b"new"))], "image_id string, name string, data binary"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+    new = _rewritten(image, [{"name": "small", "data": b"new"}])
+    assert sorted((r.image_id or "", bytes(r.content or b"")) for r in out.collect()) == sorted([("d", new), ("d", new), ("", image), ("", b"")])

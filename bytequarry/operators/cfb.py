@@ -123,7 +123,9 @@ def cfb_fat(images: DataFrame) -> DataFrame:
 
 def cfb_entries(images: DataFrame) -> DataFrame:
     """Directory entries by place; visit and path (names from the root) are null for entries that no link reaches."""
-    df = _tables(images).withColumn("order", directory_order("entries.name", "entries.left", "entries.right", "entries.child"))
+    df = _tables(images).withColumn("places", directory_order("entries.left", "entries.right", "entries.child"))
+    named = lambda path: F.transform(path, lambda i: F.get("entries", i)["name"])
+    df = df.withColumn("order", F.transform("places", lambda p: F.struct(p["visit"].alias("visit"), named(p["path"]).alias("path"))))
     df = df.select("image_id", F.inline(F.arrays_zip("entries", "order"))).select("image_id", "entries.*", "order.*")
     return df.withColumn("type", name_of(F.col("type_code"), "CFB_TYPE"))
 

@@ -92,6 +92,15 @@ def test_workers_get_tables_not_contents(spark):
         assert 0 < len(calls) <= most and not any("content#" in x for x in calls)
 
 
+def test_directory_walk_gets_links_not_names(spark):
+    """Paths come back as ids of entries, so that a batch of thousands of directories has no name in the workers."""
+    df = spark.createDataFrame([("d", bytearray(document(b"a" * 5000, b"b")))], "image_id string, content binary")
+    out = cfb.cfb_entries(df)
+    calls = re.findall(r"ArrowEvalPython \[(_directory_order.*?)\)#", out._jdf.queryExecution().optimizedPlan().toString())
+    assert len(calls) == 1 and ".child" in calls[0] and ".name" not in calls[0]
+    assert [r.path for r in out.orderBy("idx").collect()][:4] == [["Root Entry"], ["Root Entry", "Dir"], ["Root Entry", "small"], ["Root Entry", "Dir", "Große"]]
+
+
 def test_table_beyond_the_header(spark):
     """The 109 ids in the header list 7 MB; the others are in a chain of sectors, which may be cut or run in a circle."""
     data = bytes(i * 11 % 253 for i in range(253)) * 40_000
